@@ -6,13 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlake.llm import mixing, secrets
+from twinlake.llm import mixing, secrets, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.digest(substring_dedup.drop_repeats(_read(spark, sf_dir, "documents")))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_read(spark, sf_dir, "documents")))
 
@@ -22,7 +26,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op5_secret_scans, op9_source_mixing)}
+    return {f.__name__: f for f in (op4_substring_dedup, op5_secret_scans, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
