@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlake.llm import mixing, secrets, substring_dedup
+from twinlake.llm import media, mixing, packing, secrets, substring_dedup
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,12 +22,20 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_secrets(_read(spark, sf_dir, "documents")))
 
 
+def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.audio_features(media.store_text(_read(spark, sf_dir, "documents")), tensors=False).drop("tensors")
+
+
+def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_read(spark, sf_dir, "documents"), tokenizer=public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op5_secret_scans, op9_source_mixing)}
+    return {f.__name__: f for f in (op4_substring_dedup, op5_secret_scans, op6_media_columns, op7_curve_packing, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
