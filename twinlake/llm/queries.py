@@ -7,13 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlake.llm import media, mixing, packing, secrets, substring_dedup, toxicity
+from twinlake.llm import media, mixing, ngram_join, packing, secrets, substring_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.jaccard_groups(_read(spark, sf_dir, "documents"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.drop_repeats(_read(spark, sf_dir, "documents")))
 
@@ -42,7 +46,7 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_substring_dedup, op5_secret_scans, op6_media_columns, op7_curve_packing, op8_toxicity, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_ngram_join, op4_substring_dedup, op5_secret_scans, op6_media_columns, op7_curve_packing, op8_toxicity, op9_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
