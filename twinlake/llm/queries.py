@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlake.llm import media, mixing, ngram_join, packing, secrets, substring_dedup, toxicity
+from twinlake.llm import media, mixing, ngram_join, packing, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,8 +45,12 @@ def op9_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_sources(_read(spark, sf_dir, "documents"))
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(suffix_dedup.drop_long_matches(_read(spark, sf_dir, "documents")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op4_substring_dedup, op5_secret_scans, op6_media_columns, op7_curve_packing, op8_toxicity, op9_source_mixing)}
+    return {f.__name__: f for f in (op1_ngram_join, op4_substring_dedup, op5_secret_scans, op6_media_columns, op7_curve_packing, op8_toxicity, op9_source_mixing, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
