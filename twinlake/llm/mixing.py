@@ -98,6 +98,23 @@ def mix_sources(
     return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
 
 
+def repeat_texts(docs: DataFrame, **options) -> DataFrame:
+    """The mix itself: rows of ``docs`` as often as the mix takes them, with the same columns.
+
+    A document taken in part comes with its first words only, joined by one space, and n_chars
+    counted anew. Documents without words add nothing to a mix of words.
+    """
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    mixed = mix_sources(docs, keep=["text", *rest], **options).where("taken > 0")
+    whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
+    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, part), " ")
+    texts = F.concat(F.array_repeat("text", whole), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    out = mixed.withColumn("part", part).withColumn("text", F.explode(texts))
+    if "n_chars" in rest:
+        out = out.withColumn("n_chars", F.when(F.col("part") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
+    return out.select(*docs.columns)
+
+
 ORACLE = r"""
 WITH r AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS snull, coalesce(source, '') AS skey,

@@ -201,17 +201,9 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("id", "n", "shared").mapInArrow(run, "h long, id long, n long")
 
 
-def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
-    """Groups of documents linked by 100 * |A & B| >= percent * |A | B| over word shingles.
-
-    Returns, per row: doc_id, n_shingles, component_id (the smallest id reachable by links,
-    itself included). Words are runs of non-white-space, A-Z lower-cased; a text with fewer
-    than ``size`` words is one shingle; null or empty texts have none and link with nothing.
-    Rows with equal or null ids are rows of their own; null ids come first in order and stand
-    as null in component_id; other columns are ignored; an empty table gives an empty table.
-    """
-    spark = docs.sparkSession
-    own = row_ids(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")))
+def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
+    """(rid, n_shingles, component): the groups of documents (rid, text)."""
+    spark = own.sparkSession
     sets = stage(shared_sets(own, size, percent), "sets")
     release(spark)
     equal = stage(sets.where("n > 0").groupBy("fp_a", "fp_b").agg(F.min("rid").alias("id"), F.first("n").alias("n"), F.first("shared", ignorenulls=True).alias("shared")), "classes")
@@ -240,9 +232,30 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
     of_class = equal.select("fp_a", "fp_b", "id").join(final, "id", "left").select("fp_a", "fp_b", F.coalesce("component", "id").alias("component"))
     out = sets.select("rid", "n", "fp_a", "fp_b").join(of_class, ["fp_a", "fp_b"], "left")
-    out = out.select("rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rid")).otherwise(F.col("rid")).alias("component_id"))
+    out = out.select("rid", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.coalesce("component", "rid")).otherwise(F.col("rid")).alias("component"))
+    return out
+
+
+def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 5, percent: int = 75) -> DataFrame:
+    """Groups of documents linked by 100 * |A & B| >= percent * |A | B| over word shingles.
+
+    Returns, per row: doc_id, n_shingles, component_id (the smallest id reachable by links,
+    itself included). Words are runs of non-white-space, A-Z lower-cased; a text with fewer
+    than ``size`` words is one shingle; null or empty texts have none and link with nothing.
+    Rows with equal or null ids are rows of their own; null ids come first in order and stand
+    as null in component_id; other columns are ignored; an empty table gives an empty table.
+    """
+    own = row_ids(docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text")))
+    out = _groups(own, size, percent)
     if getattr(own, "_twinlake_path", None):
         ids = own.select("rid", "doc_id")
-        out = out.join(ids, "rid").join(ids.select(F.col("rid").alias("component_id"), F.col("doc_id").alias("least")), "component_id")
-        return out.select("doc_id", "n_shingles", F.col("least").alias("component_id"))
-    return out.withColumnRenamed("rid", "doc_id")
+        out = out.join(ids, "rid").join(ids.select(F.col("rid").alias("component"), F.col("doc_id").alias("component_id")), "component")
+        return out.select("doc_id", "n_shingles", "component_id")
+    return out.select(F.col("rid").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
+    """The rows of ``docs`` (doc_id, text and any others) without all but the first of each group."""
+    own = row_ids(docs)
+    first = _groups(own.select("rid", "text"), size, percent).where("rid = component").select("rid")
+    return own.join(first, "rid", "left_semi").select(*docs.columns)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlake.llm import embedding_dedup, media, mixing, ngram_join, packing, secrets, substring_dedup, suffix_dedup, toxicity
+from twinlake.llm import chat, embedding_dedup, media, mixing, ngram_join, packing, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_duplicates(_read(spark, sf_dir, "embeddings"))
 
 
+def op3_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.collapse_snapshots(_read(spark, sf_dir, "conversations"))
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.digest(substring_dedup.drop_repeats(_read(spark, sf_dir, "documents")))
 
@@ -54,8 +58,8 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op4_substring_dedup, op5_secret_scans, op6_media_columns, op7_curve_packing, op8_toxicity, op9_source_mixing, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_ngram_join, op2_embedding_dedup, op3_chat_formatting, op4_substring_dedup, op5_secret_scans, op6_media_columns, op7_curve_packing, op8_toxicity, op9_source_mixing, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_secret_scans": secrets.oracle(), "op9_source_mixing": mixing.ORACLE}
+    return {"op3_chat_formatting": chat.ORACLE, "op5_secret_scans": secrets.oracle(), "op9_source_mixing": mixing.ORACLE}
