@@ -14,6 +14,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
@@ -27,7 +30,13 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. Columns keep their types; no order is kept."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/twinlake/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    # The plan runs once, so its shuffle files can go as soon as the table is there.
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
     back = spark.read.schema(df.schema).parquet(path)
     back._twinlake_path = path
     return back

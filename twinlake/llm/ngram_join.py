@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from twinlake.llm import _hashing as H
 from twinlake.llm._fragments import ROUTED, fragment_of, gather, in_fragments, narrow, pack, pack_records, routed, row_ids, split, spread, unpack
-from twinlake.llm._stage import discard, release, shuffle_partitions, stage
+from twinlake.llm._stage import discard, shuffle_partitions, stage
 from twinlake.llm.components import components
 
 U = np.uint64
@@ -71,7 +71,7 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     """(rid, n, fp_a, fp_b, shared): each set's size and fingerprint, and, where enough of it is
     held by others, its shared shingles, the rarest first."""
     tasks = shuffle_partitions(docs.sparkSession)
-    frags = max(8, tasks // 2)
+    frags = max(8, tasks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -104,13 +104,13 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
         rid, h = gather(held, [np.int64, U])
         del held
         order = np.argsort(h, kind="stable")
-        at = H.runs(h[order])
-        df = np.diff(at)
+        df = np.diff(H.runs(h[order]))
         keep = np.repeat(df > 1, df)
-        at_df = np.repeat(df, df)[keep]
+        at_df = np.repeat(df, df)[keep].astype(np.uint32)
         order = order[keep]
+        del keep, df
         back = np.argsort(order, kind="stable")  # by document again, as they came
-        rid, h, at_df = rid[order][back], h[order][back], at_df[back].astype(np.uint32)
+        rid, h, at_df = rid[order][back], h[order][back], at_df[back]
         rows = [(k, pack_records(rid[i], h[i], at_df[i])) for k, i in split(spread(rid, tasks))]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array(np.ones(len(rows)), pa.int32()), pa.array([r[1] for r in rows], pa.binary())], names=["dest", "kind", "payload"])
@@ -133,8 +133,10 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             shared = [h[lo[i] : hi[i]].tobytes() if alive[i] else None for i in range(at, to)]
             yield pa.RecordBatch.from_arrays([pa.array(rid[at:to]), pa.array(n[at:to]), pa.array(fa[at:to]), pa.array(fb[at:to]), pa.array(shared, pa.binary())], names=["rid", "n", "fp_a", "fp_b", "shared"])
 
-    parts = docs.select("rid", "text").mapInArrow(cut, SEGMENTS).repartitionById(frags, F.col("dest")).mapInArrow(count, SEGMENTS)
-    return parts.repartitionById(tasks, F.col("dest")).mapInArrow(collect, "rid long, n long, fp_a long, fp_b long, shared binary")
+    parts = stage(docs.select("rid", "text").mapInArrow(cut, SEGMENTS).repartitionById(frags, F.col("dest")).mapInArrow(count, SEGMENTS), "segments")
+    out = stage(parts.repartitionById(tasks, F.col("dest")).mapInArrow(collect, "rid long, n long, fp_a long, fp_b long, shared binary"), "sets")
+    discard(parts)
+    return out
 
 
 def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -142,7 +144,7 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
     Each set of ``sets`` (id, shared) is cut once; its segments carry the ids of its partners.
     """
-    frags = max(8, shuffle_partitions(pairs.sparkSession) // 2)
+    frags = max(8, shuffle_partitions(pairs.sparkSession))
     partners = pairs.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("partners")).withColumnRenamed("a", "id")
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     own = sets.select("id", "shared").join(named, "id").join(partners, "id", "left")
@@ -203,9 +205,7 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
 
 def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     """(rid, n_shingles, component): the groups of documents (rid, text)."""
-    spark = own.sparkSession
-    sets = stage(shared_sets(own, size, percent), "sets")
-    release(spark)
+    sets = shared_sets(own, size, percent)
     equal = stage(sets.where("n > 0").groupBy("fp_a", "fp_b").agg(F.min("rid").alias("id"), F.first("n").alias("n"), F.first("shared", ignorenulls=True).alias("shared")), "classes")
     classes = equal.where(F.col("shared").isNotNull())
     prefix = stage(_prefixes(classes, percent), "prefix")

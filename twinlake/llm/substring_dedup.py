@@ -68,7 +68,7 @@ def repeated_windows(docs: DataFrame, span: int, block: int) -> DataFrame:
     if span < 2 * block - 1:
         raise ValueError("a window must hold a whole block")
     tasks = shuffle_partitions(docs.sparkSession)
-    frags = max(8, tasks // 2)
+    frags = max(8, tasks)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

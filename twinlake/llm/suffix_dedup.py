@@ -180,7 +180,7 @@ def repeated_bytes(docs: DataFrame, span: int) -> DataFrame:
     if span <= K:
         raise ValueError(f"windows must be longer than {K} bytes")
     tasks = shuffle_partitions(docs.sparkSession)
-    frags = max(8, tasks // 2)
+    frags = max(8, tasks)
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
