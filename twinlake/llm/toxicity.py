@@ -29,12 +29,18 @@ _FOLD[65:91] = _FOLD[97:123] = np.arange(1, LETTERS)
 
 @dataclass
 class Model:
-    """Weight of each letter subsequence, and the logistic curve from the worst window to a score."""
+    """Letter subsequences that weigh something and their weights, and the logistic curve from the worst window to a score."""
 
-    weights: np.ndarray
+    known: np.ndarray
+    value: np.ndarray
     slope: float
     offset: float
 
+    def weights(self) -> np.ndarray:
+        full = np.zeros(LETTERS**ORDER, np.float32)
+        full[self.known] = self.value
+        return full
+
 
 def subsequences(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """(number of the subsequence that starts at each place, its span), for every choice of later letters within SPAN."""
@@ -84,29 +90,60 @@ def window_scores(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
     return c[WINDOW:] - c[:-WINDOW]
 
 
-def worst_windows(data: np.ndarray, at: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of each text: its highest window value, where it is in the padded letters; those letters."""
-    symbols, start = padded(data, at)
-    if len(start) < 2:
-        return np.empty(0), np.empty(0, np.int64), symbols
-    v = window_scores(symbols, weights)
-    top = np.maximum.reduceat(v, start[:-1])
-    place = np.array([a + int(np.argmax(v[a : b - SPAN - WINDOW + 2])) for a, b in zip(start[:-1], start[1:], strict=True)])
-    return top, place, symbols
-
-
-def choose_landmarks(texts: list[str], toxic: np.ndarray, each: int, sizes: tuple[int, ...] = (4, 5, 6)) -> tuple[list[str], int]:
+def worst_windows(raw: list[bytes], weights: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each text: its highest window value, the letters of that window, and those of a random one; a quarter megabyte at a time."""
+    width = SPAN + WINDOW - 1
+    top, worst, other = [], [], []
+    i = 0
+    while i < len(raw):
+        j, size = i, 0
+        while j < len(raw) and (j == i or size + len(raw[j]) <= 1 << 18):
+            size += len(raw[j])
+            j += 1
+        part = raw[i:j]
+        symbols, start = padded(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in part])]))
+        v = window_scores(symbols, weights)
+        top.append(np.maximum.reduceat(v, start[:-1]))
+        place = np.array([a + int(np.argmax(v[a : b - width + 1])) for a, b in zip(start[:-1], start[1:], strict=True)])
+        chance = np.array([a + int(rng.integers(0, max(1, b - a - width))) for a, b in zip(start[:-1], start[1:], strict=True)])
+        worst.append(symbols[place[:, None] + np.arange(width)])
+        other.append(symbols[chance[:, None] + np.arange(width)])
+        i = j
+    return np.concatenate(top), np.vstack(worst), np.vstack(other)
+
+
+def _document_counts(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Every string of n letters in the texts, as a number, and how many texts hold it."""
+    found = []
+    for t in texts:
+        letters = _FOLD[np.frombuffer(t, np.uint8)]
+        if len(letters) < n:
+            continue
+        code, whole = np.zeros(len(letters) - n + 1, np.int32), np.ones(len(letters) - n + 1, bool)
+        for i in range(n):
+            part = letters[i : i + len(code)]
+            code = code * LETTERS + part
+            whole &= part > 0
+        found.append(np.unique(code[whole]))
+    return np.unique(np.concatenate(found), return_counts=True) if found else (np.empty(0, np.int32), np.empty(0, np.int64))
+
+
+def choose_landmarks(texts: list[bytes], toxic: np.ndarray, each: int, sizes: tuple[int, ...] = (4, 5, 6)) -> tuple[list[str], int]:
     """Letter strings inside words: the ``each`` most telling of toxic texts, and as many of the commonest of others; how many are telling."""
-    bad, good = Counter(), Counter()
-    for text, t in zip(texts, toxic, strict=True):
-        letters = bytes(_FOLD[np.frombuffer(text.encode(), np.uint8)].astype(np.uint8))
-        found = {letters[i : i + n] for n in sizes for i in range(len(letters) - n + 1)}
-        (bad if t else good).update(x for x in found if 0 not in x)
     n_bad, n_good = max(1, int(toxic.sum())), max(1, int((~toxic).sum()))
-    telling = {x: np.log((n + 0.5) / n_bad / ((good[x] + 2) / n_good)) * np.sqrt(n) for x, n in bad.items() if n >= 3}
-    first = sorted(telling, key=lambda x: (-telling[x], x))[:each]
-    common = [x for x, _ in sorted(good.items(), key=lambda x: (-x[1], x[0])) if x not in set(first)][:each]
-    return ["".join(chr(96 + c) for c in x) for x in first + common], len(first)
+    telling, common = [], []
+    for n in sizes:
+        decode = lambda code, n=n: "".join(chr(96 + int(code) // LETTERS**i % LETTERS) for i in range(n - 1, -1, -1))
+        bad, in_bad = _document_counts([t for t, b in zip(texts, toxic, strict=True) if b], n)
+        good, in_good = _document_counts([t for t, b in zip(texts, toxic, strict=True) if not b], n)
+        bad, in_bad = bad[in_bad >= 3], in_bad[in_bad >= 3]
+        at = np.minimum(np.searchsorted(good, bad), max(0, len(good) - 1))
+        also = np.where(good[at] == bad, in_good[at], 0) if len(good) else np.zeros(len(bad))
+        value = np.log((in_bad + 0.5) / n_bad / ((also + 2) / n_good)) * np.sqrt(in_bad)
+        telling += [(-float(value[i]), decode(bad[i])) for i in np.lexsort((bad, -value))[:each]]
+        common += [(-int(in_good[i]), decode(good[i])) for i in np.lexsort((good, -in_good))[: 2 * each]]
+    first = [x for _, x in sorted(telling)[:each]]
+    return first + [x for _, x in sorted(common) if x not in set(first)][:each], len(first)
 
 
 def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Generator, penalty: float = 1e-4, rounds: int = 30) -> np.ndarray:
@@ -124,16 +161,17 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Genera
     return mean / t
 
 
-def train(texts: list[str], toxic: np.ndarray, landmarks: int = 320, rounds: int = 4, seed: int = 5) -> Model:
+def train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int = 4, seed: int = 5) -> Model:
     """Landmarks, Nystroem features, machine and curve from labelled texts.
 
     Labels are of texts, insults are of windows: each round takes the worst window of every
     toxic text as toxic, and the worst and some random windows of the others as clean.
     """
     if not len(texts) or toxic.all() or not toxic.any():
-        return Model(np.zeros(LETTERS**ORDER, np.float32), 0.0, float(np.log((toxic.sum() + 1) / ((~toxic).sum() + 1))) if len(texts) else 0.0)
+        return Model(np.empty(0, np.int64), np.empty(0), 0.0, float(np.log((toxic.sum() + 1) / ((~toxic).sum() + 1))) if len(texts) else 0.0)
     rng = np.random.default_rng(seed)
-    marks, n_telling = choose_landmarks(texts, toxic, landmarks // 2)
+    raw = [t.encode() for t in texts]
+    marks, n_telling = choose_landmarks(raw, toxic, landmarks // 2)
     maps = [feature_map(m) for m in marks]
     known = np.array(sorted({i for m in maps for i in m}))
     column = np.full(LETTERS**ORDER, len(known), np.int32)
@@ -150,25 +188,24 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 320, rounds: int
         return full
 
     weights = fold(np.arange(len(marks)) < n_telling)
-    raw = [t.encode() for t in texts]
-    data, at = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])])
     hard = np.empty((0, SPAN + WINDOW - 1), np.int32)
     for _ in range(rounds):
-        top, place, symbols = worst_windows(data, at, weights)
-        cut = lambda spots: symbols[np.minimum(spots, len(symbols) - SPAN - WINDOW)[:, None] + np.arange(SPAN + WINDOW - 1)]  # noqa: B023, E731
-        hard = np.unique(np.vstack([hard, cut(place[~toxic])]), axis=0)
-        windows = np.vstack([cut(place[toxic]), hard, cut(rng.integers(0, max(1, len(symbols) - SPAN - WINDOW), len(place)))])
+        _, worst, chance = worst_windows(raw, weights, rng)
+        hard = np.unique(np.vstack([hard, worst[~toxic]]), axis=0)
+        windows = np.vstack([worst[toxic], hard, chance])
         y = np.where(np.arange(len(windows)) < toxic.sum(), 1.0, -1.0)
-        counts = np.zeros((len(windows), len(known) + 1), np.float32)
-        for index, span in subsequences(windows):
-            for i in range(index.shape[1]):
-                np.add.at(counts, (np.arange(len(windows)), column[index[:, i]]), DECAY**span)
-        x = np.hstack([counts @ z.T @ root, np.ones((len(windows), 1))])
+        x = np.ones((len(windows), len(marks) + 1))
+        for at in range(0, len(windows), 1000):
+            part = windows[at : at + 1000]
+            counts = np.zeros((len(part), len(known) + 1))
+            for index, span in subsequences(part):
+                for i in range(index.shape[1]):
+                    np.add.at(counts, (np.arange(len(part)), column[index[:, i]]), DECAY**span)
+            x[at : at + 1000, :-1] = counts @ z.T @ root
         balance = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0)
         weights = fold(root @ _svm(x, y, balance, rng)[:-1])
-    top = worst_windows(data, at, weights)[0]
-    slope, offset = _logistic(top, toxic)
-    return Model(weights, slope, offset)
+    slope, offset = _logistic(worst_windows(raw, weights, rng)[0], toxic)
+    return Model(known, weights[known], slope, offset)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -196,8 +233,19 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, m
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     own = docs.where(~held_out(F.col("doc_id")) & (F.char_length("text") <= most_chars)).select("doc_id", "text")
-    rows = own.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(most_rows).select("text", "toxic").collect()  # most_rows ids, a bound
-    return train([r.text for r in rows], np.array([r.toxic == 1 for r in rows], bool))
+    rows = own.join(F.broadcast(ids), "doc_id").orderBy("doc_id", "text").limit(most_rows).select("text", "toxic")  # most_rows ids, a bound
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        texts, toxic = [], []
+        for b in batches:
+            texts += b.column("text").to_pylist()
+            toxic += [x == 1 for x in b.column("toxic").to_pylist()]
+        m = train(texts, np.array(toxic, bool))
+        yield pa.RecordBatch.from_arrays([pa.array([m.known.tolist()], pa.list_(pa.int64())), pa.array([m.value.astype(float).tolist()], pa.list_(pa.float64())), pa.array([m.slope]), pa.array([m.offset])], names=["known", "value", "slope", "offset"])
+
+    # One task: the sample is bounded, and the executors have the memory.
+    m = rows.repartition(1).mapInArrow(run, "known array<long>, value array<double>, slope double, offset double").first()
+    return Model(np.array(m.known, np.int64), np.array(m.value), m.slope, m.offset)
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
@@ -207,9 +255,10 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7, tex
     a text without a suspect window. Repeated rows get equal scores; an empty table stays so.
     """
     kept = docs.schema
-    weights, slope, offset = model.weights, model.slope, model.offset
+    slope, offset = model.slope, model.offset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = model.weights()
         for b in batches:
             for chunk in H.chunks(b, text_col):
                 data, at = H.buffer(chunk.column(text_col))
