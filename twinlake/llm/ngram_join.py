@@ -10,9 +10,11 @@ segments, and what two sets share is counted fragment by fragment and summed per
    partner's. In every block of classes with a prefix shingle in common, members are paired
    with a few pseudo-random centres, not with each other.
 3. Partial overlaps of these pairs are counted in the fragments and summed; links make groups.
-4. Only pairs of a block that are still in different groups are counted as well. Every pair
-   within a group is joined already, so no link between groups is lost and a group of near
-   copies is never expanded into all its pairs.
+4. Only pairs of a block that are still in different groups are counted as well: the members
+   outside the block's main group against the others, if their bitmaps allow the similarity
+   (Sandes et al., 2020: the differing bits of two parity bitmaps bound what sets don't share).
+   Every pair within a group is joined already, so no link between groups is lost and a group
+   of near copies is never expanded into all its pairs.
 """
 
 from __future__ import annotations
@@ -32,6 +34,8 @@ from twinlake.llm.components import components
 U = np.uint64
 #: Centres that a member of a block may be paired with.
 CENTRES = 8
+#: Words of 64 bits in a bitmap.
+WORDS = 16
 SEGMENTS = "dest int, kind int, payload binary"
 
 
@@ -203,6 +207,39 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
     return classes.select("id", "n", "shared").mapInArrow(run, "h long, id long, n long")
 
 
+def _bitmaps(classes: DataFrame) -> DataFrame:
+    """(id, n, held, b0, ...): how many shingles a class shares, and the parity of their hashes in each of the bitmap's bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sets = [np.frombuffer(x.as_buffer(), U) for x in b.column("shared")]
+            bits = np.zeros((len(sets), WORDS), np.int64)
+            for k, s in enumerate(sets):
+                odd = np.bincount((H.scramble(s + U(0x1B873593)) % U(64 * WORDS)).astype(np.int64), minlength=64 * WORDS) & 1
+                bits[k] = np.packbits(odd.astype(np.uint8)).view(np.int64)
+            held = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("n"), held, *(pa.array(bits[:, i].copy()) for i in range(WORDS))], names=["id", "n", "held", *(f"b{i}" for i in range(WORDS))])
+
+    return classes.select("id", "n", "shared").mapInArrow(run, "id long, n long, held long, " + ", ".join(f"b{i} long" for i in range(WORDS)))
+
+
+def _rest(prefix: DataFrame, groups: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """Pairs (a, b) with a prefix shingle in common that lie in different groups and may be similar."""
+    placed = prefix.select("h", "id").join(groups, "id", "left").select("h", "id", F.coalesce("component", "id").alias("group"))
+    sizes = placed.groupBy("h", "group").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("h").agg(F.max_by("group", F.struct("size", "group")).alias("main"), F.count("*").alias("several")).where("several > 1").select("h", "main")
+    mixed = stage(placed.join(main, "h").join(_bitmaps(classes), "id"), "mixed")
+    x, y = mixed.where("group <> main").alias("x"), mixed.alias("y")
+    differ = sum((F.bit_count(F.col(f"x.b{i}").bitwiseXOR(F.col(f"y.b{i}"))) for i in range(WORDS)), F.lit(0))
+    n = F.col("x.n") + F.col("y.n")
+    both = (
+        (F.col("x.h") == F.col("y.h")) & (F.col("x.group") != F.col("y.group")) & ((F.col("y.group") == F.col("y.main")) | (F.col("x.id") > F.col("y.id")))
+        & (100 * F.least("x.n", "y.n") >= percent * F.greatest("x.n", "y.n"))
+        & ((100 + percent) * (F.col("x.held") + F.col("y.held") - differ) >= 2 * percent * n)
+    )
+    return x.join(y, both).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
+
+
 def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     """(rid, n_shingles, component): the groups of documents (rid, text)."""
     sets = shared_sets(own, size, percent)
@@ -219,15 +256,9 @@ def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     links = stage(_links(pairs, classes, percent), "jaccard")
     groups = stage(components(links), "groups")
 
-    # What still lies in different groups of a block is paired in full.
-    placed = prefix.join(groups, "id", "left").withColumn("group", F.coalesce("component", "id")).drop("component")
-    mixed = placed.groupBy("h").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("h")
-    placed = stage(placed.join(mixed, "h"), "mixed")
-    x, y = placed.alias("x"), placed.alias("y")
-    rest = x.join(y, (F.col("x.h") == F.col("y.h")) & (F.col("x.id") > F.col("y.id")) & (F.col("x.group") != F.col("y.group")) & close(F.col("x.n"), F.col("y.n")))
-    rest = stage(rest.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct().join(pairs, ["a", "b"], "left_anti"), "pairs")
+    rest = stage(_rest(prefix, groups, classes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = _links(rest, classes, percent)
-    discard(prefix, placed, pairs)
+    discard(prefix, pairs)
     final = components(links.unionByName(more))
 
     of_class = equal.select("fp_a", "fp_b", "id").join(final, "id", "left").select("fp_a", "fp_b", F.coalesce("component", "id").alias("component"))

@@ -260,7 +260,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7, tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights()
         for b in batches:
-            for chunk in H.chunks(b, text_col):
+            for chunk in H.chunks(b, text_col, 1 << 20):
                 data, at = H.buffer(chunk.column(text_col))
                 symbols, start = padded(data, at)
                 top = np.maximum.reduceat(window_scores(symbols, weights), start[:-1])
