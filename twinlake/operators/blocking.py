@@ -82,7 +82,8 @@ def target_keys(channel: str) -> Column:
 
 def postings(targets: DataFrame, channels: tuple[str, ...] = PROD.channels) -> DataFrame:
     """(country, channel, key, target_id) of prepared targets."""
-    keys = F.flatten(F.array(*[F.transform(target_keys(c), lambda k, c=c: F.struct(F.lit(c).alias("channel"), k.alias("key"))) for c in channels]))
+    filed = lambda c: F.transform(target_keys(c), lambda k: F.struct(F.lit(c).alias("channel"), k.alias("key")))
+    keys = F.flatten(F.array(*map(filed, channels)))
     return targets.select("country", F.explode(keys).alias("x"), F.col("id").alias("target_id")).select("country", "x.channel", "x.key", "target_id")
 
 
@@ -129,10 +130,14 @@ def query_keys(s1: DataFrame, profile: Profile = PROD) -> DataFrame:
         "phon": ("phon", lambda: F.col("phon_query")),
     }
     every = []
+
+    def asked(rule: str, channel: str, keys: Column) -> Column:
+        return F.transform(keys, lambda k, i: F.struct(F.lit(rule).alias("rule"), F.lit(channel).alias("channel"), k.alias("key"), i.alias("pos")))
+
     for rule, (channel, keys) in rules.items():
         wanted = {"concat": "token" in profile.channels and profile.many_tokens > 0, "tr_exact": "tr_name" in profile.channels, "tr_token": "tr_tok" in profile.channels}.get(rule, channel in profile.channels)
         if wanted:
-            every.append(F.transform(keys(), lambda k, i, rule=rule, channel=channel: F.struct(F.lit(rule).alias("rule"), F.lit(channel).alias("channel"), k.alias("key"), i.alias("pos"))))
+            every.append(asked(rule, channel, keys()))
     return s1.select("country", F.col("id").alias("s1_id"), F.explode(F.flatten(F.array(*every))).alias("q")).select("country", "s1_id", "q.*")
 
 

@@ -256,7 +256,7 @@ query("candidate_diagnostic", S.sql("""SELECT rec.s1_id, n_truth AS gt_count, tp
   LEFT JOIN (SELECT s1_id, string_agg(target_id, ',' ORDER BY target_id) AS missing FROM truth ANTI JOIN cand USING (s1_id, target_id) GROUP BY 1) m ON m.s1_id = rec.s1_id""", *_P, _CANDS))(
     lambda spark, sf: _rounded(diagnosed(spark, sf)).select("s1_id", "gt_count", "recovered_gt_count", "candidate_count", "gt_min_rank", "gt_max_rank", "channel_agreement_mean", "missing_gt_ids", "single_token_name")
 )
-query("summarize_retrieval", S.sql("""SELECT round(CAST(sum(tp) AS DOUBLE) / sum(n_truth), 6) AS candidate_pair_recall, sum(n_pred) AS candidate_total, min(n_pred) AS least, max(n_pred) AS most,
+query("summarize_retrieval", S.sql("""SELECT round(CAST(sum(tp) AS DOUBLE) / sum(n_truth), 6) AS candidate_pair_recall, CAST(sum(n_pred) AS BIGINT) AS candidate_total, min(n_pred) AS least, max(n_pred) AS most,
   (list_sort(list(n_pred)))[CAST(round_even((count(*) - 1) * 0.5, 0) AS BIGINT) + 1] AS p50, (list_sort(list(n_pred)))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95 FROM rec""", *_P, _CANDS))(
     lambda spark, sf: _rounded(ME.summarize(diagnosed(spark, sf))).select("candidate_pair_recall", "candidate_total", "least", "most", "p50", "p95")
 )
@@ -362,13 +362,13 @@ def id_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 query("sink_id_lists", S.sql("SELECT s.id AS s1_id, coalesce(l.ids, '') AS ids FROM s LEFT JOIN (SELECT s1_id, string_agg(target_id, ',' ORDER BY rank) AS ids FROM linked WHERE accepted GROUP BY 1) l ON l.s1_id = s.id", *_P))(id_lists)
 query("sink_scores", S.sql("SELECT target_id, s1_id AS candidate_s1_id, p AS model_probability, round(weight, 6) AS retrieval_score, CAST(rank + 1 AS INTEGER) AS candidate_rank FROM linked WHERE accepted", *_P))(lambda spark, sf: _rounded(T.accepted_scores(links(spark, sf))))
-query("output_summary", S.sql("SELECT count(*) FILTER (n_pred > 0) AS matched, count(*) FILTER (n_pred = 0) AS singletons, sum(n_pred) AS links, round(CAST(sum(n_pred) AS DOUBLE) / greatest(1, count(*) FILTER (n_pred > 0)), 6) AS links_per_matched FROM rec", *_P, _LINKS))(lambda spark, sf: _rounded(ME.output_summary(id_lists(spark, sf))))
+query("output_summary", S.sql("SELECT count(*) FILTER (n_pred > 0) AS matched, count(*) FILTER (n_pred = 0) AS singletons, CAST(sum(n_pred) AS BIGINT) AS links, round(CAST(sum(n_pred) AS DOUBLE) / greatest(1, count(*) FILTER (n_pred > 0)), 6) AS links_per_matched FROM rec", *_P, _LINKS))(lambda spark, sf: _rounded(ME.output_summary(id_lists(spark, sf))))
 query("error_taxonomy", S.sql("""SELECT kind, reason, count(*) AS n FROM (
   SELECT 'FN' AS kind, CASE WHEN l.p IS NULL THEN 'never_retrieved' WHEN b.best >= 0.76 AND l.p >= 0.45 THEN 'margin' ELSE 'rejected' END AS reason FROM truth LEFT JOIN linked l USING (s1_id, target_id) LEFT JOIN (SELECT s1_id, max(p) AS best FROM cand GROUP BY 1) b USING (s1_id) WHERE l.accepted IS NULL OR NOT l.accepted
   UNION ALL SELECT 'FP', CASE WHEN EXISTS (SELECT 1 FROM truth x WHERE x.s1_id = l.s1_id) THEN 'multi_match_excess' ELSE 'singleton_alarm' END FROM linked l ANTI JOIN truth USING (s1_id, target_id) WHERE accepted) GROUP BY ALL""", *_P))(
     lambda spark, sf: ME.error_taxonomy(T.truth_of_documents(spark, sf), links(spark, sf))
 )
-query("fp_breakdown", S.sql("""SELECT count(*) FILTER (NOT some) AS on_singletons, count(*) FILTER (some) AS on_matched FROM (SELECT EXISTS (SELECT 1 FROM truth x WHERE x.s1_id = l.s1_id) AS some FROM linked l ANTI JOIN truth USING (s1_id, target_id) WHERE accepted)""", *_P))(
+query("fp_breakdown", S.sql("""SELECT count(*) FILTER (NOT known) AS on_singletons, count(*) FILTER (known) AS on_matched FROM (SELECT EXISTS (SELECT 1 FROM truth x WHERE x.s1_id = l.s1_id) AS known FROM linked l ANTI JOIN truth USING (s1_id, target_id) WHERE accepted)""", *_P))(
     lambda spark, sf: ME.fp_breakdown(T.truth_of_documents(spark, sf), links(spark, sf).where("accepted").select("s1_id", "target_id"))
 )
 query("miss_taxonomy")(lambda spark, sf: ME.miss_taxonomy(T.truth_of_documents(spark, sf), *sides(spark, sf), ranked(spark, sf, 1), 1))

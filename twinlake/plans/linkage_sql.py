@@ -84,7 +84,7 @@ STATS = f"""
 total AS (SELECT country, greatest(count(*), 1) AS total FROM t GROUP BY country),
 counts AS (SELECT country, channel, key, count(*) AS n FROM post GROUP BY ALL),
 stats AS (
-  SELECT c.*, CASE channel WHEN 'addr' THEN least(8, greatest(1.5, r)) WHEN 'ngram' THEN r + 1 WHEN 'addr_tok' THEN least(8, r) END AS idf
+  SELECT c.* EXCLUDE (r), CASE channel WHEN 'addr' THEN least(8, greatest(1.5, r)) WHEN 'ngram' THEN r + 1 WHEN 'addr_tok' THEN least(8, r) END AS idf
   FROM (SELECT counts.*, ln(CAST(total + 1 AS DOUBLE) / (n + 1)) AS r FROM counts JOIN total USING (country)) c
   WHERE coalesce(n <= {_limit}, true))"""
 _rules = {
