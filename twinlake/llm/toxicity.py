@@ -70,12 +70,12 @@ def feature_map(text: str) -> dict[int, float]:
 
 
 def padded(data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The texts' letters with blanks after each, so that no window reaches into the next; where each starts."""
+    """The texts' letters with blanks around each, so that no window of one reaches into the next; where each part starts."""
     gap = SPAN + WINDOW
     n = len(at) - 1
     shift = gap * np.arange(n + 1)
     out = np.zeros(len(data) + gap * n, np.int32)
-    out[np.arange(len(data)) + np.repeat(shift[:-1], np.diff(at))] = _FOLD[data]
+    out[np.arange(len(data)) + np.repeat(shift[:-1] + WINDOW, np.diff(at))] = _FOLD[data]
     return out, at + shift
 
 
@@ -161,11 +161,21 @@ def _svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, rng: np.random.Genera
     return mean / t
 
 
+def gapped(windows: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """The windows with a blank or a letter put in at a random place, as evasive spellings have it."""
+    n, width = windows.shape
+    at = rng.integers(2, WINDOW + 2, n)[:, None]
+    place = np.arange(width)[None, :]
+    moved = np.take_along_axis(windows, np.maximum(place - (place > at), 0), 1)
+    return np.where(place == at, np.where(rng.random((n, 1)) < 0.5, 0, rng.integers(1, LETTERS, (n, 1))), moved).astype(windows.dtype)
+
+
 def train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int = 4, seed: int = 5) -> Model:
     """Landmarks, Nystroem features, machine and curve from labelled texts.
 
     Labels are of texts, insults are of windows: each round takes the worst window of every
-    toxic text as toxic, and the worst and some random windows of the others as clean.
+    toxic text as toxic, with and without a gap put in, and the worst and some random windows of
+    the others as clean.
     """
     if not len(texts) or toxic.all() or not toxic.any():
         return Model(np.empty(0, np.int64), np.empty(0), 0.0, float(np.log((toxic.sum() + 1) / ((~toxic).sum() + 1))) if len(texts) else 0.0)
@@ -192,8 +202,8 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int
     for _ in range(rounds):
         _, worst, chance = worst_windows(raw, weights, rng)
         hard = np.unique(np.vstack([hard, worst[~toxic]]), axis=0)
-        windows = np.vstack([worst[toxic], hard, chance])
-        y = np.where(np.arange(len(windows)) < toxic.sum(), 1.0, -1.0)
+        windows = np.vstack([worst[toxic], gapped(worst[toxic], rng), hard, chance])
+        y = np.where(np.arange(len(windows)) < 2 * toxic.sum(), 1.0, -1.0)
         x = np.ones((len(windows), len(marks) + 1))
         for at in range(0, len(windows), 1000):
             part = windows[at : at + 1000]
@@ -204,7 +214,9 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int
             x[at : at + 1000, :-1] = counts @ z.T @ root
         balance = np.where(y > 0, (y < 0).sum() / max(1, (y > 0).sum()), 1.0)
         weights = fold(root @ _svm(x, y, balance, rng)[:-1])
-    slope, offset = _logistic(worst_windows(raw, weights, rng)[0], toxic)
+    top, worst, _ = worst_windows(raw, weights, rng)
+    with_gaps = sum(weights[index].sum(1) * DECAY**span for index, span in subsequences(gapped(worst[toxic], rng)))
+    slope, offset = _logistic(np.concatenate([top, with_gaps]), np.concatenate([toxic, np.ones(len(with_gaps), bool)]))
     return Model(known, weights[known], slope, offset)
 
 
