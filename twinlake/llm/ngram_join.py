@@ -194,7 +194,10 @@ def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
 
 
 def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
-    """(h, id, n): a class's rarest shared shingles, enough that partners have one in common."""
+    """(h, id, n, own): a class's rarest shared shingles, enough that partners have one in common.
+
+    ``own`` is what the class shares with no other, per mille.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -202,9 +205,10 @@ def _prefixes(classes: DataFrame, percent: int) -> DataFrame:
             sets = [np.frombuffer(x.as_buffer(), np.int64) for x in b.column("shared")]
             take = [s[: max(0, len(s) - int(_needed(k, percent)) + 1)] for s, k in zip(sets, n, strict=True)]
             reps = [len(t) for t in take]
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(take)), pa.array(np.repeat(b.column("id").to_numpy(), reps)), pa.array(np.repeat(n, reps))], names=["h", "id", "n"])
+            own = np.array([1000 * (int(k) - len(s)) // int(k) for s, k in zip(sets, n, strict=True)], np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(take)), pa.array(np.repeat(b.column("id").to_numpy(), reps)), pa.array(np.repeat(n, reps)), pa.array(np.repeat(own, reps))], names=["h", "id", "n", "own"])
 
-    return classes.select("id", "n", "shared").mapInArrow(run, "h long, id long, n long")
+    return classes.select("id", "n", "shared").mapInArrow(run, "h long, id long, n long, own long")
 
 
 def _bitmaps(classes: DataFrame) -> DataFrame:
@@ -240,6 +244,17 @@ def _rest(prefix: DataFrame, groups: DataFrame, classes: DataFrame, percent: int
     return x.join(y, both).select(F.greatest("x.id", "y.id").alias("a"), F.least("x.id", "y.id").alias("b")).distinct()
 
 
+def _joined(groups: DataFrame, more: DataFrame) -> DataFrame:
+    """Groups (id, component) after further links (a, b): only the groups that these touch are joined anew."""
+    if not more.take(1):
+        return groups
+    at = lambda df, c: df.join(groups.select(F.col("id").alias(c), F.col("component").alias(f"g{c}")), c, "left").withColumn(f"g{c}", F.coalesce(f"g{c}", c))
+    lifted = stage(components(at(at(more, "a"), "b").select(F.col("ga").alias("a"), F.col("gb").alias("b"))).withColumnRenamed("component", "to"), "groups")
+    alone = lifted.join(groups, "id", "left_anti").select("id", F.col("to").alias("component"))
+    moved = groups.join(lifted.select(F.col("id").alias("component"), "to"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+    return moved.unionByName(alone)
+
+
 def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     """(rid, n_shingles, component): the groups of documents (rid, text)."""
     sets = shared_sets(own, size, percent)
@@ -248,9 +263,13 @@ def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     prefix = stage(_prefixes(classes, percent), "prefix")
     close = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
-    # Members of a block meet a pseudo-random centre, one of CENTRES choices.
+    # Members of a block meet a pseudo-random centre, one of CENTRES choices, and the member that
+    # has least of its own: of an original and its edits, the original.
     lot = F.xxhash64(F.col("id"), F.pmod(F.col("h"), F.lit(CENTRES)))
-    centre = prefix.groupBy("h").agg(F.min(F.struct(lot.alias("lot"), F.col("id"), F.col("n"))).alias("c"), F.count("*").alias("size")).where("size > 1")
+    centre = prefix.groupBy("h").agg(
+        F.min(F.struct(lot.alias("lot"), F.col("id"), F.col("n"))).alias("c"), F.min(F.struct("own", lot.alias("lot"), "id", "n")).alias("d"), F.count("*").alias("size")
+    ).where("size > 1")
+    centre = centre.select("h", F.explode(F.array_distinct(F.array(F.struct("c.id", "c.n"), F.struct("d.id", "d.n")))).alias("c"))
     met = prefix.join(centre, "h").where((F.col("id") != F.col("c.id")) & close(F.col("n"), F.col("c.n")))
     pairs = stage(met.select(F.greatest("id", F.col("c.id")).alias("a"), F.least("id", F.col("c.id")).alias("b")).distinct(), "pairs")
     links = stage(_links(pairs, classes, percent), "jaccard")
@@ -259,7 +278,7 @@ def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     rest = stage(_rest(prefix, groups, classes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
     more = _links(rest, classes, percent)
     discard(prefix, pairs)
-    final = components(links.unionByName(more))
+    final = _joined(groups, stage(more, "jaccard"))
 
     of_class = equal.select("fp_a", "fp_b", "id").join(final, "id", "left").select("fp_a", "fp_b", F.coalesce("component", "id").alias("component"))
     out = sets.select("rid", "n", "fp_a", "fp_b").join(of_class, ["fp_a", "fp_b"], "left")
