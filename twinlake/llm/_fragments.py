@@ -88,6 +88,19 @@ def split(key: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         yield int(k[i]), order[i:j]
 
 
+def batched(records: Iterator[tuple[np.ndarray, ...]], most: int = 1 << 19) -> Iterator[tuple[np.ndarray, ...]]:
+    """Columns of many small groups of records as fewer large ones, so that what a fragment gets from a task is worth a row."""
+    held, n = [], 0
+    for r in records:
+        held.append(r)
+        n += len(r[0])
+        if n >= most:
+            yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+            held, n = [], 0
+    if n:
+        yield tuple(np.concatenate(c) for c in zip(*held, strict=True))
+
+
 def routed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=ROUTED_ARROW)
 

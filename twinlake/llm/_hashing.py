@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 U = np.uint64
 _BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
 #: Bytes of text that are hashed together; one longer text is hashed alone.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 
 def scramble(x: np.ndarray) -> np.ndarray:

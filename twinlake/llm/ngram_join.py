@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.llm import _hashing as H
-from twinlake.llm._fragments import ROUTED, fragment_of, gather, in_fragments, narrow, pack, pack_records, routed, row_ids, split, spread, unpack
+from twinlake.llm._fragments import ROUTED, batched, fragment_of, gather, in_fragments, narrow, pack, pack_records, routed, row_ids, split, spread, unpack
 from twinlake.llm._stage import discard, shuffle_partitions, stage
 from twinlake.llm.components import components
 
@@ -78,24 +78,37 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     frags = max(8, tasks)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk in H.chunks(b, "text"):
-                rid = chunk.column("rid").to_numpy()
-                sets = shingle_sets(*H.buffer(chunk.column("text")), size)
-                prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
-                n = np.array([len(s) for s in sets], np.int64)
-                rows = []
-                for k, i in split(spread(rid, tasks)):
-                    rows.append((int(rid[i[0]] % frags), k, pack(rid[i], n[i], prints[i, 0], prints[i, 1])))
-                # A set that this task has sent already isn't sent again: its copies share a class.
-                _, once = np.unique(prints, axis=0, return_index=True)
-                once = np.sort(once)
-                if len(once):
-                    h = np.concatenate([sets[i] for i in once])
-                    owner = np.repeat(rid[once], n[once])
-                    for k, i in split(fragment_of(h, frags)):
-                        rows.append((k, -1, pack_records(owner[i], h[i])))
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["dest", "kind", "payload"])
+        about: list[tuple[int, int, bytes]] = []
+
+        def segments() -> Iterator[tuple[np.ndarray, ...]]:
+            sent: set[bytes] = set()
+            for b in batches:
+                for chunk in H.chunks(b, "text"):
+                    rid = chunk.column("rid").to_numpy()
+                    sets = shingle_sets(*H.buffer(chunk.column("text")), size)
+                    prints = np.array([fingerprint(s) for s in sets], np.int64).reshape(-1, 2)
+                    n = np.array([len(s) for s in sets], np.int64)
+                    for k, i in split(spread(rid, tasks)):
+                        about.append((int(rid[i[0]] % frags), k, pack(rid[i], n[i], prints[i, 0], prints[i, 1])))
+                    # A set that this task has sent lately isn't sent again: its copies share a class.
+                    once = []
+                    for i in range(len(sets)):
+                        key = prints[i].tobytes()
+                        if key not in sent:
+                            sent.add(key)
+                            once.append(i)
+                    if len(sent) > 50_000:
+                        sent.clear()
+                    yield np.concatenate([sets[i] for i in once]) if once else np.empty(0, U), np.repeat(rid[once], n[once]) if once else np.empty(0, np.int64)
+
+        def out(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], names=["dest", "kind", "payload"])
+
+        for h, owner in batched(segments()):
+            yield out([*about, *((k, -1, pack_records(owner[i], h[i])) for k, i in split(fragment_of(h, frags)))])
+            about.clear()
+        if about:
+            yield out(about)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
@@ -306,6 +319,6 @@ def jaccard_groups(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
 
 def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     """The rows of ``docs`` (doc_id, text and any others) without all but the first of each group."""
-    own = row_ids(docs)
+    own = row_ids(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")))
     first = _groups(own.select("rid", "text"), size, percent).where("rid = component").select("rid")
-    return own.join(first, "rid", "left_semi").select(*docs.columns)
+    return own.join(first, "rid", "left_semi").select("_all.*")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.llm import _hashing as H
-from twinlake.llm._fragments import ROUTED, beside_texts, fragment_of, gather, in_fragments, narrow, pack_records, routed, row_ids, split, spread
+from twinlake.llm._fragments import ROUTED, batched, beside_texts, fragment_of, gather, in_fragments, narrow, pack_records, routed, row_ids, split, spread
 from twinlake.llm._stage import discard, release, shuffle_partitions, stage
 
 U = np.uint64
@@ -71,14 +71,16 @@ def repeated_windows(docs: DataFrame, span: int, block: int) -> DataFrame:
     frags = max(8, tasks)
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk in H.chunks(b, "text"):
-                h, doc, pos, rid = _hashed(chunk)
-                g = H.windows(h, block)
-                whole = np.flatnonzero(doc[: len(g)] == doc[block - 1 :]) if len(g) else np.empty(0, np.int64)
-                rows = _fragments(g[whole], rid[doc[whole]], pos[whole], True, frags)
-                if rows:
-                    yield routed(rows)
+        def windows() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                for chunk in H.chunks(b, "text"):
+                    h, doc, pos, rid = _hashed(chunk)
+                    g = H.windows(h, block)
+                    whole = np.flatnonzero(doc[: len(g)] == doc[block - 1 :]) if len(g) else np.empty(0, np.int64)
+                    yield g[whole], rid[doc[whole]], pos[whole].astype(np.uint32)
+
+        for g, rid, pos in batched(windows()):
+            yield routed(_fragments(g, rid, pos, True, frags))
 
     def hit(held: list) -> Iterator[pa.RecordBatch]:
         rid, low, pos = gather(held, [np.int64, np.uint32, np.uint32])

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from twinlake.llm import _hashing as H
-from twinlake.llm._fragments import ROUTED, beside_texts, fragment_of, gather, in_fragments, narrow, pack_records, row_ids, routed, split, spread
+from twinlake.llm._fragments import ROUTED, batched, beside_texts, fragment_of, gather, in_fragments, narrow, pack_records, row_ids, routed, split, spread
 from twinlake.llm._stage import discard, release, shuffle_partitions, stage
 
 U = np.uint64
@@ -183,13 +183,14 @@ def repeated_bytes(docs: DataFrame, span: int) -> DataFrame:
     frags = max(8, tasks)
 
     def seek(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for chunk in H.chunks(b, "text"):
-                rid = chunk.column("rid").to_numpy()
-                x = anchors(*H.buffer(chunk.column("text")), span)
-                rows = [(k, pack_records(rid[x.doc[i]], (x.key[i] & U(0xFFFFFFFF)).astype(np.uint32), narrow(x.start[i]))) for k, i in split(fragment_of(x.key, frags))]
-                if rows:
-                    yield routed(rows)
+        def found() -> Iterator[tuple[np.ndarray, ...]]:
+            for b in batches:
+                for chunk in H.chunks(b, "text"):
+                    x = anchors(*H.buffer(chunk.column("text")), span)
+                    yield chunk.column("rid").to_numpy()[x.doc], x.start, x.key
+
+        for rid, start, key in batched(found()):
+            yield routed([(k, pack_records(rid[i], (key[i] & U(0xFFFFFFFF)).astype(np.uint32), narrow(start[i]))) for k, i in split(fragment_of(key, frags))])
 
     def several(held: list) -> Iterator[pa.RecordBatch]:
         rid, low, start = gather(held, [np.int64, np.uint32, np.uint32])
