@@ -13,6 +13,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -45,16 +46,15 @@ class Model:
 def subsequences(symbols: np.ndarray) -> Iterator[tuple[np.ndarray, int]]:
     """(number of the subsequence that starts at each place, its span), for every choice of later letters within SPAN."""
     n = symbols.shape[-1] - SPAN + 1
-
-    def further(prefix: np.ndarray, last: int, left: int) -> Iterator[tuple[np.ndarray, int]]:
-        if not left:
-            yield prefix, last + 1
-            return
-        for k in range(last + 1, SPAN - left + 1):
-            yield from further(prefix + scaled[left - 1][..., k : k + n], k, left - 1)
-
     scaled = [symbols * LETTERS**i for i in range(ORDER - 1)]
-    yield from further(symbols[..., :n] * LETTERS ** (ORDER - 1), 0, ORDER - 1)
+    sums, before = [symbols[..., :n] * LETTERS ** (ORDER - 1)], ()
+    for steps in combinations(range(1, SPAN), ORDER - 1):
+        same = next((i for i, (x, y) in enumerate(zip(steps, before, strict=False)) if x != y), 0)
+        del sums[same + 1 :]
+        for i in range(same, ORDER - 1):
+            sums.append(sums[-1] + scaled[ORDER - 2 - i][..., steps[i] : steps[i] + n])
+        yield sums[-1], steps[-1] + 1
+        before = steps
 
 
 def feature_map(text: str) -> dict[int, float]:
@@ -93,7 +93,8 @@ def window_scores(symbols: np.ndarray, weights: np.ndarray) -> np.ndarray:
 def worst_windows(raw: list[bytes], weights: np.ndarray, rng: np.random.Generator) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Of each text: its highest window value, the letters of that window, and those of a random one; a quarter megabyte at a time."""
     width = SPAN + WINDOW - 1
-    top, worst, other = [], [], []
+    # Filled in place: small arrays kept between large temporary ones would keep the heap from shrinking.
+    top, worst, other = np.empty(len(raw)), np.empty((len(raw), width), np.int32), np.empty((len(raw), width), np.int32)
     i = 0
     while i < len(raw):
         j, size = i, 0
@@ -103,13 +104,13 @@ def worst_windows(raw: list[bytes], weights: np.ndarray, rng: np.random.Generato
         part = raw[i:j]
         symbols, start = padded(np.frombuffer(b"".join(part), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in part])]))
         v = window_scores(symbols, weights)
-        top.append(np.maximum.reduceat(v, start[:-1]))
-        place = np.array([a + int(np.argmax(v[a : b - width + 1])) for a, b in zip(start[:-1], start[1:], strict=True)])
-        chance = np.array([a + int(rng.integers(0, max(1, b - a - width))) for a, b in zip(start[:-1], start[1:], strict=True)])
-        worst.append(symbols[place[:, None] + np.arange(width)])
-        other.append(symbols[chance[:, None] + np.arange(width)])
+        np.maximum.reduceat(v, start[:-1], out=top[i:j])
+        for k, (a, b) in enumerate(zip(start[:-1].tolist(), start[1:].tolist(), strict=True), i):
+            place = a + int(np.argmax(v[a : b - width + 1]))
+            chance = a + int(rng.integers(0, max(1, b - a - width)))
+            worst[k], other[k] = symbols[place : place + width], symbols[chance : chance + width]
         i = j
-    return np.concatenate(top), np.vstack(worst), np.vstack(other)
+    return top, worst, other
 
 
 def _document_counts(texts: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
