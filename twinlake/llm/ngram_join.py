@@ -34,6 +34,8 @@ from twinlake.llm.components import components
 U = np.uint64
 #: Centres that a member of a block may be paired with.
 CENTRES = 8
+#: Shingles of the sets in one fragment when overlaps are counted.
+FRAGMENT = 4 << 20
 #: Words of 64 bits in a bitmap.
 WORDS = 16
 SEGMENTS = "dest int, kind int, payload binary"
@@ -156,12 +158,11 @@ def shared_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
     return out
 
 
-def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def overlaps(pairs: DataFrame, sets: DataFrame, frags: int) -> DataFrame:
     """(a, b) -> (a, b, both): partial overlaps of the pair's segments in each fragment, summed.
 
     Each set of ``sets`` (id, shared) is cut once; its segments carry the ids of its partners.
     """
-    frags = max(8, shuffle_partitions(pairs.sparkSession))
     partners = pairs.groupBy("a").agg(F.sort_array(F.collect_list("b")).alias("partners")).withColumnRenamed("a", "id")
     named = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
     own = sets.select("id", "shared").join(named, "id").join(partners, "id", "left")
@@ -199,10 +200,10 @@ def overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return counted.groupBy("a", "b").agg(F.sum("part").alias("both"))
 
 
-def _links(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, percent: int, frags: int) -> DataFrame:
     """The pairs (a, b, na, nb) whose Jaccard similarity is at least percent / 100."""
     size = lambda who: classes.select(F.col("id").alias(who), F.col("n").alias(f"n{who}"))
-    met = overlaps(pairs, classes).join(size("a"), "a").join(size("b"), "b")
+    met = overlaps(pairs, classes, frags).join(size("a"), "a").join(size("b"), "b")
     return met.where(100 * F.col("both") >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
@@ -273,6 +274,9 @@ def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     sets = shared_sets(own, size, percent)
     equal = stage(sets.where("n > 0").groupBy("fp_a", "fp_b").agg(F.min("rid").alias("id"), F.first("n").alias("n"), F.first("shared", ignorenulls=True).alias("shared")), "classes")
     classes = equal.where(F.col("shared").isNotNull())
+    # Only as many fragments as keep one in memory: a pair has a partial overlap in each.
+    held = classes.agg(F.coalesce(F.sum(F.octet_length("shared")), F.lit(0))).first()[0] // 8
+    frags = max(4, -(-held // FRAGMENT))
     prefix = stage(_prefixes(classes, percent), "prefix")
     close = lambda a, b: (100 * F.least(a, b) >= percent * F.greatest(a, b))
 
@@ -285,11 +289,11 @@ def _groups(own: DataFrame, size: int, percent: int) -> DataFrame:
     centre = centre.select("h", F.explode(F.array_distinct(F.array(F.struct("c.id", "c.n"), F.struct("d.id", "d.n")))).alias("c"))
     met = prefix.join(centre, "h").where((F.col("id") != F.col("c.id")) & close(F.col("n"), F.col("c.n")))
     pairs = stage(met.select(F.greatest("id", F.col("c.id")).alias("a"), F.least("id", F.col("c.id")).alias("b")).distinct(), "pairs")
-    links = stage(_links(pairs, classes, percent), "jaccard")
+    links = stage(_links(pairs, classes, percent, frags), "jaccard")
     groups = stage(components(links), "groups")
 
     rest = stage(_rest(prefix, groups, classes, percent).join(pairs, ["a", "b"], "left_anti"), "pairs")
-    more = _links(rest, classes, percent)
+    more = _links(rest, classes, percent, frags)
     discard(prefix, pairs)
     final = _joined(groups, stage(more, "jaccard"))
 
