@@ -137,7 +137,7 @@ def test_secrets(spark):
     key = "AKIA" + "ABCD1234EFGH5678"
     texts = [
         f'x token = "abc123def456ghi789" {key}', "é password: short Passwd=longer_one deadbeef" + "0" * 20, None, "", "token=token: abcdefgh",
-        "Zz9" * 9 + " plain", f"api_key={key}", f"API-KEY secret:{key}",
+        "Zz9kQ4wXv7Lp2Rt8MnB5cD1e plain", f"api_key={key}", f"API-KEY secret:{key}",
     ]
     out = {r.doc_id: r for r in secrets.digest(secrets.scan_secrets(make(spark, texts))).collect()}
     assert out[0].spans.split(",")[:2] == ["assign:2:29", "access:31:51"]
