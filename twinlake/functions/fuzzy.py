@@ -71,13 +71,18 @@ def jaro_winkler(a: str, b: str) -> float:
     if not a or not b:
         return 0.0
     reach = max(max(len(a), len(b)) // 2 - 1, 0)
+    # Windows only move on, so each letter's places in b are passed once.
+    places: dict[str, list[int]] = {}
+    for j in range(len(b) - 1, -1, -1):
+        places.setdefault(b[j], []).append(j)
     free, left = [True] * len(b), []
     for i, c in enumerate(a):
-        for j in range(max(0, i - reach), min(len(b), i + reach + 1)):
-            if free[j] and b[j] == c:
-                free[j] = False
-                left.append(c)
-                break
+        at = places.get(c, [])
+        while at and at[-1] < i - reach:
+            at.pop()
+        if at and at[-1] <= i + reach:
+            free[at.pop()] = False
+            left.append(c)
     m = len(left)
     if not m:
         return 0.0

@@ -181,7 +181,9 @@ def postal_prefixes(address: Column, norm_address: Column) -> Column:
 def ngram_list(text: Column, n: int) -> Column:
     """Every n-gram in order, with repeats; none if the text is shorter."""
     size = F.char_length(text)
-    return F.when(size >= n, F.transform(F.sequence(F.lit(1), size - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    # Letters are bound once: a substring would walk a long text from its start for every n-gram.
+    grams = F.flatten(F.transform(F.array(F.split(text, "")), lambda c: F.transform(F.sequence(F.lit(0), size - n), lambda i: F.concat(*[F.get(c, i + k) for k in range(n)]))))
+    return F.when(size >= n, grams).otherwise(F.array().cast("array<string>"))
 
 
 def ngrams(text: Column, n: int) -> Column:

@@ -49,7 +49,7 @@ def pool_sample(targets: DataFrame, needed: DataFrame, n: int) -> DataFrame:
 
 
 def records_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as records: three sources by id, language as country, the text's start as name and address."""
+    """Documents as records: three sources by id, language as country, the text's start as name and all the rest as address."""
     d = spark.read.parquet(f"{sf_dir}/documents.parquet")
     line = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
     return d.select(
@@ -57,7 +57,7 @@ def records_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("doc_id") % 3).cast("int").alias("k"),
         "doc_id", F.col("lang").alias("country"),
         line(F.substring(F.coalesce("text", F.lit("")), 1, 40)).alias("name"),
-        line(F.substring(F.coalesce("text", F.lit("")), 41, 80)).alias("addr"),
+        line(F.substring(F.coalesce("text", F.lit("")), 41, 2**31 - 1)).alias("addr"),
     )
 
 
