@@ -51,3 +51,27 @@ def test_linear_forms_agree_with_plain_ones(spark):
     for n in (2, 3, 4):
         got = [x.g for x in rows.select(X.ngram_list(rows.t, n).alias("g")).collect()]
         assert got == [[t[i : i + n] for i in range(len(t) - n + 1)] for t in texts]
+
+
+def test_cross_fit_scores_every_pair(spark):
+    from pyspark.sql import functions as F
+
+    from twinlake.operators import matcher as M
+
+    f = spark.range(400).select(F.col("id").cast("string").alias("s1_id"), F.lit("t").alias("target_id"), (F.col("id") % 10 / 10).alias("x"), F.lit(1.0).alias("weight"), (F.col("id") % 10 > 6).cast("int").alias("is_match"), (F.col("id") / 10 % 2).cast("int").alias("half"))
+    p = {int(r.s1_id): r.p for r in M.cross_fit(f, ["x"], rounds=3, depth=2).collect()}
+    assert len(p) == 400 and all((v > 0.5) == (i % 10 > 6) for i, v in p.items())
+    one_class = f.where("half = 1 or is_match = 0")
+    p = {int(r.s1_id): r.p for r in M.cross_fit(one_class, ["x"], rounds=3, depth=2).collect()}
+    assert len(p) == one_class.count() and {v for i, v in p.items() if i // 10 % 2 == 1} == {0.0}
+
+
+def test_end_to_end_reaches_both_halves(spark, tmp_path):
+    r = random.Random(7)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    base = [" ".join(word() for _ in range(15)) for _ in range(40)]
+    sf = documents(tmp_path, [base[i // 3] for i in range(120)])
+    scored = {(x.s1_id, x.target_id) for x in linkage.QUERIES["gbt_scores"](spark, sf).collect()}
+    assert scored == {(x.s1_id, x.target_id) for x in linkage.QUERIES["all_features"](spark, sf).collect()}
+    lists = {x.s1_id: x.ids for x in linkage.QUERIES["end_to_end"](spark, sf).collect()}
+    assert lists == {f"S1-{i}": f"S2-{i + 1},S3-{i + 2}" for i in range(0, 120, 3)}

@@ -51,6 +51,17 @@ def predict(model: PipelineModel, features: DataFrame, names: Sequence[str]) ->
     return out.withColumn("p", vector_to_array("probability")[1]).drop("features", "rawPrediction", "probability", "prediction")
 
 
+def cross_fit(features: DataFrame, names: Sequence[str], *, most: int = 10_000, **settings) -> DataFrame:
+    """Every row with ``p`` from a model of the other ``half`` (0 or 1); where that has one class only, its share of matches (0 without rows)."""
+    classes = {(r.half, r.is_match): r.n for r in features.groupBy("half", "is_match").agg(F.count("*").alias("n")).collect()}
+    parts = []
+    for half in (0, 1):
+        train, rest = features.where(F.col("half") != half), features.where(F.col("half") == half)
+        no, yes = (classes.get((1 - half, k), 0) for k in (0, 1))
+        parts.append(predict(fit_matcher(hard_negatives(train, most), names, **settings), rest, names) if no and yes else rest.withColumn("p", F.lit(float(yes > 0))))
+    return parts[0].select("s1_id", "target_id", "p").unionByName(parts[1].select("s1_id", "target_id", "p"))
+
+
 def importances(model: PipelineModel, most: int = 10) -> list[tuple[str, float]]:
     pairs = zip(model.stages[0].getInputCols(), model.stages[1].featureImportances.toArray().tolist(), strict=True)
     return sorted(pairs, key=lambda x: -x[1])[:most]

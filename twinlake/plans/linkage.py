@@ -445,15 +445,11 @@ def graph_bridge(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("gbt_scores")
 def gbt_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Train on half of the records, by a hash of the id; score the other half."""
-    names = ["name_exact", "name_jaccard", "name_ngram_jaccard", "name_len_diff", "addr_jaccard", "addr_len_diff", "raw_blocking_weight", "score_rank_in_candidate_pool", "agree_count"]
-    every = {**FE.base_columns(), **FE.extra_columns()}
-    f = pairs(spark, sf).withColumns({c: every[c] for c in names}).select("s1_id", "target_id", "weight", *names)
+    """Every candidate, scored by a model of all features trained on the other half of the records, by a hash of the id."""
+    names = [*FE.BASE, *FE.EXTRA]
+    f = FE.all_features(pairs(spark, sf)).select("s1_id", "target_id", "weight", *names)
     f = f.join(T.truth_of_documents(spark, sf).withColumn("is_match", F.lit(1)), ["s1_id", "target_id"], "left").fillna(0, ["is_match"]).withColumn("half", X.hash_split(F.col("s1_id"))).persist()
-    if f.where("half = 0").select("is_match").distinct().count() < 2:
-        return f.where("half = 1").select("s1_id", "target_id", F.col("is_match").cast("double").alias("p"))
-    model = M.fit_matcher(M.hard_negatives(f.where("half = 0"), 10), names, rounds=5, depth=3)
-    return M.predict(model, f.where("half = 1"), names).select("s1_id", "target_id", F.round("p", 6).alias("p"))
+    return M.cross_fit(f, names).select("s1_id", "target_id", F.round("p", 6).alias("p"))
 
 
 @query("end_to_end")
