@@ -75,3 +75,34 @@ def test_end_to_end_reaches_both_halves(spark, tmp_path):
     assert scored == {(x.s1_id, x.target_id) for x in linkage.QUERIES["all_features"](spark, sf).collect()}
     lists = {x.s1_id: x.ids for x in linkage.QUERIES["end_to_end"](spark, sf).collect()}
     assert lists == {f"S1-{i}": f"S2-{i + 1},S3-{i + 2}" for i in range(0, 120, 3)}
+
+
+def test_a_word_shared_by_many_is_kept(spark, tmp_path):
+    texts = [f"zebra {i:05d}" for i in range(300)]
+    sf = documents(tmp_path, texts)
+    got = {(x.s1_id, x.target_id) for x in linkage.QUERIES["join_token"](spark, sf).collect()}
+    assert len(got) == 100 * 200
+    assert linkage.QUERIES["prune_frequent"](spark, sf).where("key = 'zebra'").count() == 200
+    assert linkage.QUERIES["topk_by_score"](spark, sf).count() == 100 * 60
+
+
+@pytest.mark.parametrize("name", ["prune_frequent", "idf_ngram", "score_sum", "topk_by_score", "rerank_trigram", "feat_arrays", "resolve_ownership"])
+def test_small_limits_agree_with_the_sql(spark, tmp_path, monkeypatch, name):
+    """The SQL has the small limits and reads 120 characters: on texts no longer than that it is the expected result."""
+    duckdb = pytest.importorskip("duckdb")
+    from twinlake.operators import blocking as B
+    from twinlake.plans import linkage_sql as S
+
+    monkeypatch.setattr(linkage, "PROFILE", B.Profile(limits=S.LIMITS, depth=60, budget=20))
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(300).collect()
+    sf = documents(tmp_path, [(x.text or "")[:120] for x in rows], [x.doc_id for x in rows])
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
+    out = con.execute(linkage.ORACLES[name])
+    columns = [c[0] for c in out.description]
+    key = lambda row: tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in row)
+    want = sorted(map(key, out.fetchall()))
+    got = sorted(map(key, linkage.QUERIES[name](spark, sf).select(*columns).collect()))
+    assert got == want and len(got) > 0
+    if name == "prune_frequent":
+        assert len(got) < linkage.posted(spark, sf).count()

@@ -21,7 +21,8 @@ from twinlake.sources import tables as T
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-TEST = B.Profile(limits=S.LIMITS, depth=60, budget=20)
+#: Production limits, depth and budget. The SQL has small ones (``S.LIMITS``, depth 60, budget 20), which tests set here.
+PROFILE = B.PROD
 
 
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
@@ -128,7 +129,7 @@ def profile_source(spark: SparkSession, sf: str) -> DataFrame:
 def min_slice(spark: SparkSession, sf: str) -> DataFrame:
     """For each first-source record the ten others of its country that share most words and its prefix."""
     s1, targets = sides(spark, sf)
-    profile = B.Profile(channels=("token", "prefix"), limits=S.LIMITS, cross_field=0.0, many_tokens=0.0)
+    profile = B.Profile(channels=("token", "prefix"), limits=PROFILE.limits, cross_field=0.0, many_tokens=0.0)
     return B.top_k(B.retrieve(s1, targets, profile), 10).select("s1_id", "target_id", "weight", "rank")
 
 
@@ -145,20 +146,20 @@ def posted(spark: SparkSession, sf: str) -> DataFrame:
 
 
 query("key_counts", S.sql("SELECT country, channel, key, n FROM counts", S.RECORDS, S.POSTINGS, S.STATS))(lambda spark, sf: B.key_counts(posted(spark, sf)))
-query("prune_frequent", S.sql("SELECT p.country, p.channel, p.key, p.target_id FROM post p SEMI JOIN stats USING (country, channel, key)", S.RECORDS, S.POSTINGS, S.STATS))(lambda spark, sf: B.prune(posted(spark, sf), S.LIMITS))
+query("prune_frequent", S.sql("SELECT p.country, p.channel, p.key, p.target_id FROM post p SEMI JOIN stats USING (country, channel, key)", S.RECORDS, S.POSTINGS, S.STATS))(lambda spark, sf: B.prune(posted(spark, sf), PROFILE.limits))
 for _c in ("addr", "ngram", "addr_tok"):
     query(f"idf_{_c}", S.sql(f"SELECT country, key, round(idf, 6) AS idf FROM stats WHERE channel = '{_c}'", S.RECORDS, S.POSTINGS, S.STATS))(
-        lambda spark, sf, c=_c: B.within_limits(B.idf(B.key_counts(B.postings(sides(spark, sf)[1], (c,))), sides(spark, sf)[1]), S.LIMITS).select("country", "key", F.round("idf", 6).alias("idf"))
+        lambda spark, sf, c=_c: B.within_limits(B.idf(B.key_counts(B.postings(sides(spark, sf)[1], (c,))), sides(spark, sf)[1]), PROFILE.limits).select("country", "key", F.round("idf", 6).alias("idf"))
     )
 
 
 def found(spark: SparkSession, sf: str, rules: tuple[str, ...] | None = None) -> DataFrame:
     s1, targets = sides(spark, sf)
-    p = B.postings(targets, TEST.channels)
-    asked = B.query_keys(s1, TEST)
+    p = B.postings(targets, PROFILE.channels)
+    asked = B.query_keys(s1, PROFILE)
     if rules:
         asked = asked.where(F.col("rule").isin(list(rules)))
-    return B.hits(B.weighted_keys(asked, B.idf(B.key_counts(p), targets), TEST), p)
+    return B.hits(B.weighted_keys(asked, B.idf(B.key_counts(p), targets), PROFILE), p)
 
 
 _ALL = (S.RECORDS, S.POSTINGS, S.STATS, S.HITS, S.SCORES)
@@ -169,11 +170,11 @@ for _r in ("exact", "addr", "token", "concat", "prefix", "acronym", "tokpost", "
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return B.score(found(spark, sf), TEST)
+    return B.score(found(spark, sf), PROFILE)
 
 
-def ranked(spark: SparkSession, sf: str, k: int = 20) -> DataFrame:
-    return B.top_k(scored(spark, sf), k)
+def ranked(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
+    return B.top_k(scored(spark, sf), PROFILE.budget if k is None else k)
 
 
 query("score_sum", S.sql("SELECT s1_id, target_id, round(weight, 6) AS weight FROM sc", *_ALL))(lambda spark, sf: scored(spark, sf).select("s1_id", "target_id", F.round("weight", 6).alias("weight")))
@@ -198,15 +199,15 @@ re AS (
   FROM rk JOIN (SELECT id AS s1_id, {S.gram_set("norm_name", 3)} AS x3 FROM s) USING (s1_id) JOIN (SELECT id AS target_id, {S.gram_set("norm_name", 3)} AS y3 FROM t) USING (target_id)
   WHERE rank < 60 OR token_hits >= 2 OR cross_field)"""
 query("rerank_trigram", S.sql("SELECT s1_id, target_id, weight, rank FROM (SELECT s1_id, target_id, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY round(weight, 6) DESC, target_id) - 1 AS INTEGER) AS rank FROM re) WHERE rank < 20", *_ALL, _RERANK))(
-    lambda spark, sf: B.rerank(scored(spark, sf), *sides(spark, sf), 20, TEST).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank")
+    lambda spark, sf: B.rerank(scored(spark, sf), *sides(spark, sf), PROFILE.budget, PROFILE).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank")
 )
-query("family_quota")(lambda spark, sf: B.family_quota(scored(spark, sf), 20).select("s1_id", "target_id", F.array_join("channels", ",").alias("channels"), "rank"))
+query("family_quota")(lambda spark, sf: B.family_quota(scored(spark, sf), PROFILE.budget).select("s1_id", "target_id", F.array_join("channels", ",").alias("channels"), "rank"))
 for _name, _profile in (("baseline_profile", B.BASELINE), ("mem_profile", B.MEM), ("prod_profile", B.PROD), ("multi_pass_profile", B.MULTI_PASS)):
     query(_name)(lambda spark, sf, p=_profile: B.top_k(B.retrieve(*sides(spark, sf), p), p.budget).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank"))
 
 
 def probable(spark: SparkSession, sf: str) -> DataFrame:
-    """The 20 best candidates, with name similarity as a stand-in for a model's probability."""
+    """The best candidates, with name similarity as a stand-in for a model's probability."""
     names = lambda df, a, b: df.select(F.col("id").alias(a), X.ngrams(F.col("norm_name"), 3).alias(b))
     s1, targets = sides(spark, sf)
     return ranked(spark, sf).join(names(s1, "s1_id", "g1"), "s1_id").join(names(targets, "target_id", "g2"), "target_id").withColumn("p", F.round(X.jaccard(F.col("g1"), F.col("g2")), 6)).drop("g1", "g2")
@@ -425,19 +426,19 @@ def sounded(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return r.where("k = 0"), r.where("k > 0").withColumn("is_s2", (F.col("k") == 1).cast("int"))
 
 
-WITH_SOUNDS = B.Profile(channels=(*B.PROD.channels, "tr_name", "tr_tok", "phon"), limits=S.LIMITS | {"phon": 50, "tr_name": 50, "tr_tok": 50}, many_phonetic=20.0)
+WITH_SOUNDS = B.Profile(channels=(*B.PROD.channels, "tr_name", "tr_tok", "phon"), many_phonetic=20.0)
 query("metaphone_primary")(lambda spark, sf: records(spark, sf).select(F.explode("core").alias("token")).distinct().select("token", phonetic.metaphone(F.col("token")).alias("code")))
 query("transliterate")(lambda spark, sf: records(spark, sf).select("id", phonetic.clean_transliteration(F.col("name")).alias("latin")))
-query("join_phon")(lambda spark, sf: B.top_k(B.retrieve(*sounded(spark, sf), B.Profile(channels=("phon",), limits=WITH_SOUNDS.limits, many_phonetic=20.0)), 20).select("s1_id", "target_id", "weight", "phon_hits"))
+query("join_phon")(lambda spark, sf: B.top_k(B.retrieve(*sounded(spark, sf), B.Profile(channels=("phon",), limits=WITH_SOUNDS.limits, many_phonetic=20.0)), WITH_SOUNDS.budget).select("s1_id", "target_id", "weight", "phon_hits"))
 query("join_tr_name")(lambda spark, sf: B.retrieve(*sounded(spark, sf), B.Profile(channels=("exact", "token", "tr_name", "tr_tok"), limits=WITH_SOUNDS.limits)).select("s1_id", "target_id", "weight"))
-query("all_channels")(lambda spark, sf: B.rerank(B.retrieve(*sounded(spark, sf), WITH_SOUNDS), *sides(spark, sf), 20, WITH_SOUNDS).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank"))
+query("all_channels")(lambda spark, sf: B.rerank(B.retrieve(*sounded(spark, sf), WITH_SOUNDS), *sides(spark, sf), WITH_SOUNDS.budget, WITH_SOUNDS).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank"))
 
 
 @query("graph_bridge")
 def graph_bridge(spark: SparkSession, sf: str) -> DataFrame:
     s1, targets = sides(spark, sf)
     second, third = targets.where("is_s2 = 1"), targets.where("is_s2 = 0")
-    near = B.top_k(B.retrieve(second, third, B.Profile(channels=("exact", "token", "prefix", "acronym", "ngram"), limits=S.LIMITS, cross_field=0.0)), 25)
+    near = B.top_k(B.retrieve(second, third, B.Profile(channels=("exact", "token", "prefix", "acronym", "ngram"), limits=PROFILE.limits, cross_field=0.0)), 25)
     p = FE.paired(near, second, third)
     hop = p.select(F.col("s1_id").alias("via"), "target_id", fuzzy.token_set_udf(F.col("x.norm_name"), F.col("y.norm_name")).alias("name_set"), F.when((F.col("x.norm_addr") != "") & (F.col("y.norm_addr") != ""), fuzzy.token_set_udf(F.col("x.norm_addr"), F.col("y.norm_addr"))).alias("addr_set"))
     return D.bridge(links(spark, sf), hop)
