@@ -127,6 +127,14 @@ def read_tensors(stream: bytes) -> pa.Table:
     return pa.ipc.open_stream(stream).read_all()
 
 
+def tensor_digest(stream: bytes) -> str:
+    """Checksums of a stored stream as read back: of its tensors, and of the time spans of all tensors and active runs."""
+    t = read_tensors(stream).combine_chunks()
+    full = np.concatenate([c.to_numpy_ndarray() for c in t["tensor"].chunks])
+    times = [x for c in ("start_s", "end_s") for x in t[c].to_pylist()] + [v for spans in t["active"].to_pylist() for x in spans for v in (x["start_s"], x["end_s"])]
+    return f"crc={zlib.crc32(np.round(full, 2).astype('<f4').tobytes()):08x};times={zlib.crc32(np.round(times, 6).astype('<f8').tobytes()):08x}"
+
+
 def store_text(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each text's bytes as a media column: doc_id, n_bytes (unpadded), media. Null texts count as empty."""
 
@@ -142,8 +150,8 @@ def audio_features(media: DataFrame, *, tensors: bool = True) -> DataFrame:
     """Digests and features of stored media, read back from the stored bytes.
 
     ``feature`` sums up frames, active spans (the first eight, in frames), mean log-mel values
-    and the checksum of the tensors; ``tensors`` is the Arrow stream of :func:`tensor_table`,
-    null if not asked for. Equal media give equal values; repeated rows and null ids are kept.
+    and the checksums of the tensors and of all time spans; ``tensors`` is the Arrow stream of
+    :func:`tensor_table`, null if not asked for. Equal media give equal values; repeated rows and null ids are kept.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -155,9 +163,10 @@ def audio_features(media: DataFrame, *, tensors: bool = True) -> DataFrame:
                 mel, power = log_mel(resample((np.frombuffer(back, np.uint8).astype(np.float32) - 128) / 128))
                 spans = segments(power)
                 n = -(-len(mel) // PATCH)
+                stream = tensor_table(mel, spans)
                 means = ",".join(f"{v:.2f}" for v in mel.mean(axis=0, dtype=np.float64))
-                text = f"frames={len(mel)};patches={n};segments={len(spans)};first={'|'.join(f'{s}-{e}' for s, e in spans[:8])};mel={means};crc={zlib.crc32(np.round(mel, 2).astype('<f4').tobytes()):08x}"
-                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), text, tensor_table(mel, spans) if tensors else None))
+                text = f"frames={len(mel)};patches={n};segments={len(spans)};first={'|'.join(f'{s}-{e}' for s, e in spans[:8])};mel={means};{tensor_digest(stream)}"
+                rows.append((len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), text, stream if tensors else None))
             cols = list(zip(*rows, strict=True)) or [[]] * 7
             kinds = [pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_bytes"), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tensors"])

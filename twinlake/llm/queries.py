@@ -35,7 +35,7 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return media.audio_features(media.store_text(_read(spark, sf_dir, "documents")), tensors=False).drop("tensors")
+    return media.audio_features(media.store_text(_read(spark, sf_dir, "documents"))).drop("tensors")
 
 
 def op7_curve_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
