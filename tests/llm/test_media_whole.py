@@ -25,3 +25,12 @@ def test_spans_after_the_eighth_count():
     other = spans.copy()
     other[-1, 1] += 1
     assert media.tensor_digest(media.tensor_table(mel, spans)) != media.tensor_digest(media.tensor_table(mel, other))
+
+
+def test_the_last_bytes_count(spark, tmp_path):
+    for units in (1, 2, 3, 4):
+        n = units * media.UNIT
+        texts = ["a" * n, *("a" * (n - k) + "\x01" + "a" * (k - 1) for k in (1, 2, 17, 40, 64))]
+        got = features(spark, tmp_path, texts)
+        assert len(set(got.values())) == len(texts)
+        assert len(media.resample(media.padded(np.zeros(n, np.float32)))) % media.HOP == 0

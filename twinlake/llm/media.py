@@ -69,6 +69,12 @@ def _mel_bank() -> np.ndarray:
 PHASES, BANK, TAPER = _phases(), _mel_bank(), np.hanning(FRAME).astype(np.float32)
 
 
+def padded(x: np.ndarray) -> np.ndarray:
+    """Zeros after the samples, so that the filter runs out and frames end on a whole hop: every sample lies in a frame."""
+    hop = HOP * DOWN // UP
+    return np.concatenate([x, np.zeros(TAPS + -(len(x) + TAPS) % hop, np.float32)])
+
+
 def resample(x: np.ndarray) -> np.ndarray:
     """UP / DOWN times the samples: output m takes the filter phase m * DOWN mod UP."""
     n = len(x) // DOWN * UP
@@ -160,7 +166,7 @@ def audio_features(media: DataFrame, *, tensors: bool = True) -> DataFrame:
             for x in b.column("media"):
                 stored = x.as_buffer().to_pybytes()
                 back = from_wave(stored)
-                mel, power = log_mel(resample((np.frombuffer(back, np.uint8).astype(np.float32) - 128) / 128))
+                mel, power = log_mel(resample(padded((np.frombuffer(back, np.uint8).astype(np.float32) - 128) / 128)))
                 spans = segments(power)
                 n = -(-len(mel) // PATCH)
                 stream = tensor_table(mel, spans)
