@@ -12,14 +12,17 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from twinlake.llm._stage import stage
+from twinlake.llm._stage import discard, stage
 
 U = np.uint64
 ROUTED = "dest int, payload binary"
 ROUTED_ARROW = pa.schema([("dest", pa.int32()), ("payload", pa.binary())])
+#: Rows on their way: those with a kind of 0 or more need no work in the fragment, and go on to the task of that number.
+SEGMENTS = "dest int, kind int, payload binary"
+SEGMENTS_ARROW = pa.schema([("dest", pa.int32()), ("kind", pa.int32()), ("payload", pa.binary())])
 
 
 def pack(*columns: np.ndarray) -> bytes:
@@ -105,18 +108,31 @@ def routed(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], schema=ROUTED_ARROW)
 
 
+def segments(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], schema=SEGMENTS_ARROW)
+
+
 def row_ids(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """``docs`` with ``rid``, a distinct long a row whose order is that of the ids.
+    """``docs`` (id, text and others) with ``rid``, a distinct long a row whose order is that of the ids.
 
-    Where the ids are distinct and not null they serve themselves. Else rows are numbered in
-    the order of id (null first), then text, and the numbered table is written down.
+    Where the ids are whole numbers, distinct and not null, they serve themselves. Else rows are
+    numbered in the order of id (null first), then text, and the numbered table is written down:
+    a range sort, whose ties a row number spreads, then each partition's rows after those of
+    the partitions before it.
     """
+    whole = docs.schema[id_col].dataType.typeName() in ("byte", "short", "integer", "long")
     twice = docs.groupBy(id_col).count().where((F.col("count") > 1) | F.col(id_col).isNull()).limit(1)
-    if not twice.take(1):
+    if whole and not twice.take(1):
         return docs.withColumn("rid", F.col(id_col).cast("long"))
-    placed = docs.withColumn("_row", F.struct(*[F.col(f"`{c}`") for c in docs.columns])).select(id_col, "text", "_row").orderBy(F.col(id_col).asc_nulls_first(), "text").select("_row")
-    numbered = placed.rdd.zipWithIndex().map(lambda x: (x[1], x[0]["_row"]))
-    return stage(docs.sparkSession.createDataFrame(numbered, placed.select(F.lit(0).cast("long").alias("rid"), "_row").schema).select("_row.*", "rid"), "row-ids")
+    tied = docs.withColumn("_tie", F.monotonically_increasing_id()).orderBy(F.col(id_col).asc_nulls_first(), F.col("text").asc_nulls_first(), "_tie")
+    placed = stage(tied.drop("_tie").withColumn("_at", F.monotonically_increasing_id()), "ordered")
+    part = F.shiftright("_at", 33).alias("_part")
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy(part).agg(F.count("*").alias("n")).select("_part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("_start"))
+    rid = F.col("_start") + F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))
+    out = stage(placed.withColumn("_part", part).join(F.broadcast(starts), "_part").select(*docs.columns, rid.alias("rid")), "row-ids")  # a row a partition
+    discard(placed)
+    return out
 
 
 def in_fragments(df: DataFrame, n: int, work: Callable[[list], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
@@ -133,6 +149,22 @@ def in_fragments(df: DataFrame, n: int, work: Callable[[list], Iterator[pa.Recor
     return df.repartitionById(n, F.col("dest")).mapInArrow(run, schema)
 
 
+def through_fragments(df: DataFrame, n: int, work: Callable[[list], Iterator[pa.RecordBatch]]) -> DataFrame:
+    """Send segments to their fragment and run ``work`` on the payloads there; what needs no work passes. Routed rows come out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = []
+        for b in batches:
+            kind = b.column("kind").to_numpy()
+            done = np.flatnonzero(kind >= 0)
+            if len(done):
+                yield pa.RecordBatch.from_arrays([b.column("kind").take(pa.array(done)), b.column("payload").take(pa.array(done))], schema=ROUTED_ARROW)
+            held += [b.column("payload")[int(i)].as_buffer() for i in np.flatnonzero(kind < 0)]
+        yield from work(held)
+
+    return df.repartitionById(n, F.col("dest")).mapInArrow(run, ROUTED)
+
+
 def beside_texts(marks: DataFrame, docs: DataFrame, n: int, work: Callable[[list, Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     """Bring routed rows to the documents they are about.
 

@@ -1,7 +1,8 @@
 """Rolling hashes over Arrow text columns, in NumPy: bytes, words and windows of words.
 
 All hashes are polynomial sums modulo 2**64 over random per-byte values, read off prefix
-sums, then scrambled. A column's text is one buffer; no Python object is made per word.
+sums, then scrambled. There are two families of them: where equal hashes decide a result, both
+are compared, 128 bits. A column's text is one buffer; no Python object is made per word.
 """
 
 from __future__ import annotations
@@ -13,7 +14,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U = np.uint64
-_BASE, _STEP = 0x9E3779B97F4A7C15 | 1, 0xD6E8FEB86659FD93 | 1
+#: Bases of bytes in a word or span, and of words in a window, by family.
+_BASE, _STEP = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F), (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 #: Bytes of text that are hashed together; one longer text is hashed alone.
 CHUNK = 1 << 20
 
@@ -28,7 +30,7 @@ def scramble(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTES = scramble(np.arange(1, 257, dtype=U) * U(0x2545F4914F6CDD1D))
+_BYTES = [scramble(np.arange(1, 257, dtype=U) * U(odd)) for odd in (0x2545F4914F6CDD1D, 0x9FB21C651E98DF25)]
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
 _tables: dict[int, np.ndarray] = {}
@@ -58,27 +60,27 @@ def between(sums: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) ->
     return (sums[end] - sums[start]) * _inverses(base, len(sums))[start]
 
 
-def byte_sums(data: np.ndarray) -> np.ndarray:
-    return prefix_sums(_BYTES[data], _BASE)
+def byte_sums(data: np.ndarray, family: int = 0) -> np.ndarray:
+    return prefix_sums(_BYTES[family][data], _BASE[family])
 
 
 def byte_windows(sums: np.ndarray, size: int) -> np.ndarray:
     """The hash of each window of ``size`` bytes."""
     n = max(0, len(sums) - size)
-    return scramble((sums[size : size + n] - sums[:n]) * _inverses(_BASE, len(sums))[:n])
+    return scramble((sums[size : size + n] - sums[:n]) * _inverses(_BASE[0], len(sums))[:n])
 
 
-def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return scramble(between(sums, start, end, _BASE) + (end - start).astype(U) * U(0xA24BAED4963EE407))
+def spans_hash(sums: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    return scramble(between(sums, start, end, _BASE[family]) + (end - start).astype(U) * U(0xA24BAED4963EE407))
 
 
-def windows(h: np.ndarray, size: int) -> np.ndarray:
+def windows(h: np.ndarray, size: int, family: int = 0) -> np.ndarray:
     """The hash of each window of ``size`` neighbouring hashes."""
     n = len(h) - size + 1
     if n <= 0:
         return np.empty(0, U)
-    s = prefix_sums(h, _STEP)
-    return scramble((s[size:] - s[:n]) * _inverses(_STEP, len(s))[:n])
+    s = prefix_sums(h, _STEP[family])
+    return scramble((s[size:] - s[:n]) * _inverses(_STEP[family], len(s))[:n])
 
 
 def buffer(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +127,8 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return np.where((data >= 65) & (data <= 90), data + np.uint8(32), data)
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return spans_hash(byte_sums(data), start, end)
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, family: int = 0) -> np.ndarray:
+    return spans_hash(byte_sums(data, family), start, end, family)
 
 
 def runs(sorted_values: np.ndarray) -> np.ndarray:
@@ -135,3 +137,14 @@ def runs(sorted_values: np.ndarray) -> np.ndarray:
     if not n:
         return np.zeros(1, np.int64)
     return np.concatenate(([0], np.flatnonzero(sorted_values[1:] != sorted_values[:-1]) + 1, [n]))
+
+
+def first_of_equal(*keys: np.ndarray) -> np.ndarray:
+    """Whether each place is the first with its keys."""
+    order = np.lexsort(keys[::-1])  # stable, so equal keys keep their order
+    new = np.ones(len(order), bool)
+    if len(order):
+        new[1:] = np.any([k[order[1:]] != k[order[:-1]] for k in keys], axis=0)
+    out = np.empty(len(order), bool)
+    out[order] = new
+    return out

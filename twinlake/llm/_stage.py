@@ -7,29 +7,54 @@ a lost executor costs at most the phase that was running.
 
 from __future__ import annotations
 
+import atexit
 import gc
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of input files whose records one task of a shuffle may be given.
+TASK_BYTES = 64 << 20
+_OWN = uuid.uuid4().hex
+_swept: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a temporary one only where that is unset (tests, one machine)."""
+    """The folder in ``spark.checkpoint.dir``. Where that is unset, a temporary one in local mode; a cluster must set it."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all machines share")
         found = "file://" + tempfile.mkdtemp(prefix="twinlake-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+def _own_dir(spark: SparkSession) -> str:
+    """This process's folder of staged tables; it goes when the process ends."""
+    path = f"{shared_dir(spark)}/twinlake/{_OWN}"
+    if path not in _swept:
+        _swept.add(path)
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        files = p.getFileSystem(spark._jsc.hadoopConfiguration())
+
+        def sweep() -> None:
+            try:
+                files.delete(p, True)
+            except Exception:  # the Java side may have ended first; then the folder stays
+                pass
+
+        atexit.register(sweep)
+    return path
+
+
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back. Columns keep their types; no order is kept."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/twinlake/{name}-{uuid.uuid4().hex}"
+    path = f"{_own_dir(spark)}/{name}-{uuid.uuid4().hex}"
     # The plan runs once, so its shuffle files can go as soon as the table is there.
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
@@ -62,3 +87,23 @@ def release(spark: SparkSession) -> None:
 
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def tasks_for(df: DataFrame) -> int:
+    """How many tasks should share what ``df`` reads: the session's shuffle partitions, or more where the input is large."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    known = sum(s for s in sizes if s < 1 << 60)  # relations without files have no size
+    return max(shuffle_partitions(df.sparkSession), -(-known // TASK_BYTES))
+
+
+def join_hot(left: DataFrame, right: DataFrame, on: str, count: str, total: int) -> DataFrame:
+    """An inner join on a key that many rows of ``left`` may share.
+
+    ``count`` in ``right`` is how many rows of ``left`` have the key, ``total`` how many there are. Keys with more than a
+    thousandth of all rows are fewer than a thousand, as counts add up to the total: only those are broadcast.
+    """
+    hot = F.col(count) * 1000 > total
+    heavy = F.broadcast(right.where(hot))
+    rest = left.join(heavy.select(on).distinct(), on, "left_anti").join(right.where(~hot), on)
+    return left.join(heavy, on).unionByName(rest)

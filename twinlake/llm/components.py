@@ -1,13 +1,14 @@
 """Connected components of a link table, by alternating large-star and small-star steps
 (Kiveris et al., 2014). Every step is two aggregations and a join of (a, b) rows; nothing is
-gathered by component. Each round is written down, so lineage stays short."""
+gathered by component, and the links of a hub are joined where they lie. Each round is written
+down, so lineage stays short."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm._stage import discard, stage
+from twinlake.llm._stage import discard, join_hot, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -20,8 +21,8 @@ def components(links: DataFrame) -> DataFrame:
     state = _state(edges)
     while True:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        large = join_hot(both, low, "a", "n", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         low = large.groupBy("a").agg(F.min("b").alias("m"))
         joined = large.join(low, "a")
         small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
