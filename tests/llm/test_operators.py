@@ -96,17 +96,48 @@ def test_repeated_ids_are_rows(spark):
     assert sorted((r.doc_id is None, r.n_words, r.n_removed) for r in out) == [(False, 60, 0), (False, 60, 60), (True, 0, 0)]
 
 
+def contexts(r, n, letters, most):
+    own = [bytes(r.integers(97, 97 + letters, r.integers(0, most)).astype(np.uint8)) for _ in range(n)]
+    return own, np.frombuffer(b"".join(c + b"\xff" for c in own), np.uint8)
+
+
 def test_run_index():
     r = np.random.default_rng(0)
     text = np.append(r.integers(97, 99, 500).astype(np.uint8), 255).astype(np.uint8)
-    order = suffix_dedup.suffix_order(text)
     raw = text.tobytes()
-    assert order.tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
-    index, rows = suffix_dedup.build_index(text, 8)
-    row, place = rows[:1], np.array([500])
-    for _ in range(500):
-        row, place = index.lf(row), place - 1
-        assert order[row[0]] == place[0]
+    assert suffix_dedup.suffix_order(text).tolist() == sorted(range(len(raw)), key=lambda i: raw[i:])
+    for _ in range(30):
+        own, text = contexts(r, int(r.integers(1, 8)), 2, 40)
+        node = np.sort(r.integers(0, 3, len(own)))
+        index, eights = suffix_dedup.build_index(text, np.repeat(node, [len(c) + 1 for c in own])), suffix_dedup.eight_bytes(text)
+        asked = [c[2:] + b"ab" for c in own] + contexts(r, 4, 3, 30)[0]
+        of = r.integers(0, 4, len(asked))
+        size = np.array([len(p) for p in asked])
+        got = {}
+        for step, who, length in suffix_dedup.matching_statistics(index, eights, np.frombuffer(b"".join(asked), np.uint8), np.cumsum(size) - size, size, of):
+            got |= {(w, size[w] - step): n for w, n in zip(who.tolist(), length.tolist(), strict=True)}
+        for q, p in enumerate(asked):
+            mine = [c for c, k in zip(own, node, strict=True) if k == of[q]]
+            for i in range(len(p)):
+                assert got[q, i] == max(n for n in range(len(p) - i + 1) if n == 0 or any(p[i : i + n] in c for c in mine))
+
+
+def test_run_index_follows_runs_in_a_repetitive_text():
+    r = np.random.default_rng(1)
+    base = r.integers(97, 123, 170).astype(np.uint8)
+    few, many = (suffix_dedup.build_index(np.tile(np.append(base, np.uint8(255)), n)) for n in (10, 1000))
+    assert many.rows == 100 * few.rows and all(len(x) < 200 for x in (many.key, many.letter, many.first, many.last, many.to, many.head, many.tail))
+
+
+def test_repeated_places_in_parts():
+    r = np.random.default_rng(2)
+    for most in (20, 60, 10_000):
+        own = [bytes(r.integers(97, 99, r.integers(5, 20)).astype(np.uint8)) for _ in range(60)]
+        group = np.sort(r.integers(0, 5, len(own)))
+        size = np.array([len(c) for c in own])
+        got = suffix_dedup.repeated_places(np.frombuffer(b"".join(own), np.uint8), np.cumsum(size) - size, size, group, 5, most)
+        want = [any(own[i][j : j + 5] in own[o] for o in range(i) if group[o] == group[i]) for i in range(len(own)) for j in range(len(own[i]) - 4)]
+        assert got.tolist() == want
 
 
 def test_embedding_dedup(spark):
