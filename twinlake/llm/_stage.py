@@ -13,7 +13,6 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of input files whose records one task of a shuffle may be given.
@@ -95,15 +94,3 @@ def tasks_for(df: DataFrame) -> int:
     sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
     known = sum(s for s in sizes if s < 1 << 60)  # relations without files have no size
     return max(shuffle_partitions(df.sparkSession), -(-known // TASK_BYTES))
-
-
-def join_hot(left: DataFrame, right: DataFrame, on: str, count: str, total: int) -> DataFrame:
-    """An inner join on a key that many rows of ``left`` may share.
-
-    ``count`` in ``right`` is how many rows of ``left`` have the key, ``total`` how many there are. Keys with more than a
-    thousandth of all rows are fewer than a thousand, as counts add up to the total: only those are broadcast.
-    """
-    hot = F.col(count) * 1000 > total
-    heavy = F.broadcast(right.where(hot))
-    rest = left.join(heavy.select(on).distinct(), on, "left_anti").join(right.where(~hot), on)
-    return left.join(heavy, on).unionByName(rest)

@@ -1,14 +1,14 @@
 """Connected components of a link table, by alternating large-star and small-star steps
-(Kiveris et al., 2014). Every step is two aggregations and a join of (a, b) rows; nothing is
-gathered by component, and the links of a hub are joined where they lie. Each round is written
-down, so lineage stays short."""
+(Kiveris et al., 2014). Every step is an aggregation and a join of (a, b) rows, the smaller id
+second; nothing is gathered by component. A hub's links are the rows of a join, which Spark splits
+where they are too many for a task. Each round is written down, so lineage stays short."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm._stage import discard, join_hot, stage
+from twinlake.llm._stage import discard, stage
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -19,14 +19,14 @@ def components(links: DataFrame) -> DataFrame:
     """Links (a, b) -> (id, component): the smallest id reachable. Ids without a link to another don't appear."""
     edges = stage(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct(), "links")
     state = _state(edges)
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
-        large = join_hot(both, low, "a", "n", 2 * state[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        joined = large.join(low, "a")
-        small = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(low.select("a", F.col("m").alias("b"))).where("a <> b").distinct()
-        after = stage(small, "links")
+    while state[0]:
+        # Large star: what is larger than its neighbour goes to that neighbour's least one; a root has none.
+        least = edges.groupBy(F.col("a").alias("b")).agg(F.min("b").alias("m"))
+        large = edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).distinct()
+        # Small star: what is smaller goes to the least of them.
+        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        after = stage(small.where("a <> b").distinct(), "links")
         discard(edges)
         edges, before, state = after, state, _state(after)
         if state == before:
