@@ -2,9 +2,16 @@
 
 The upper levels of every tree are fitted on a bounded sample: one random direction a level and
 a median per node. A vector near a median goes to both sides. That deals all rows to (tree,
-leaf) groups; a group that is still large is split on by further random directions in its
-task. Vectors of a leaf are compared in blocks, pairs are verified in double precision, and
-the union of all trees' pairs is the link table.
+leaf) groups. A leaf with more than GROUP rows is split on, LEVELS levels at a time, at medians of a
+bounded sample of its own, until leaves fit or no longer thin out. In its task a leaf is split on
+by further random directions down to small nodes.
+
+Tight groups are never expanded into all their pairs. First every vector looks for a centre:
+of the vectors in its leaves within half the link angle, itself included, the one with the least
+random number. All vectors of a centre are linked to one another, by the triangle inequality of
+angles, so their links are counted, not listed. Then leaves are compared again, and only pairs
+with different centres are listed, verified in double precision; the union of all trees'
+pairs, and every vector's link to its centre, make the groups.
 """
 
 from __future__ import annotations
@@ -17,10 +24,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from twinlake.llm._stage import stage
+from twinlake.llm import _hashing as H
+from twinlake.llm._stage import discard, stage
 from twinlake.llm.components import components
 
 SEED = 20_240_607
+#: Levels that one more round of dealing adds to an oversized leaf, and the rows it sees of it, about.
+LEVELS, SEEN = 5, 1024
+DEALT = "tree int, dim int, round int, leaf long, id long, centre long, x binary"
+LEAF = ["tree", "dim", "round", "leaf"]
 
 
 def unit_vectors(col: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -53,18 +65,23 @@ def directions(tree: int, depth: int, dim: int, level: int = 0) -> np.ndarray:
     return d / np.linalg.norm(d, axis=1, keepdims=True)
 
 
-def fit_forest(sample: np.ndarray, trees: int, depth: int) -> list[list[np.ndarray]]:
-    """For each tree and level, the median of every node's projections."""
-    out = []
-    for t in range(trees):
-        axes, node, levels = directions(t, depth, sample.shape[1]), np.zeros(len(sample), np.int64), []
-        for level in range(depth):
-            p = sample @ axes[level]
-            cut = np.array([np.median(p[node == k]) if (node == k).any() else 0.0 for k in range(1 << level)])
-            levels.append(cut)
-            node = 2 * node + (p > cut[node])
-        out.append(levels)
-    return out
+def fit_tree(x: np.ndarray, axes: np.ndarray, spill: float) -> list[np.ndarray]:
+    """For each level, the median of every node's projections; infinite, so that all rows go left, where a cut wouldn't thin the node out."""
+    nodes, levels = [np.arange(len(x))], []
+    for axis in axes:
+        cut, below = np.full(len(nodes), np.inf), []
+        for k, rows in enumerate(nodes):
+            p = x[rows] @ axis
+            m = np.median(p) if len(rows) else 0.0
+            a, b = rows[p <= m + spill], rows[p > m - spill]
+            if max(len(a), len(b)) <= 0.8 * len(rows):
+                cut[k] = m
+            else:
+                a, b = rows, rows[:0]
+            below += [a, b]
+        nodes = below
+        levels.append(cut)
+    return levels
 
 
 def leaves(x: np.ndarray, levels: list[np.ndarray], axes: np.ndarray, spill: float) -> tuple[np.ndarray, np.ndarray]:
@@ -77,12 +94,12 @@ def leaves(x: np.ndarray, levels: list[np.ndarray], axes: np.ndarray, spill: flo
     return row, node
 
 
-def close_pairs(x: np.ndarray, least: float, leaf: int, spill: float, rng: np.random.Generator, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of rows with a cosine of at least ``least`` that one more random tree finds in this group.
+def nodes(x: np.ndarray, leaf: int, spill: float, rng: np.random.Generator) -> Iterator[np.ndarray]:
+    """The rows of each node of one more random tree in this group.
 
     Splitting stops when a node is small, or when a cut no longer thins it out (a tight cluster).
     """
-    left, right, work = [], [], [np.arange(len(x))]
+    work = [np.arange(len(x))]
     while work:
         rows = work.pop()
         if len(rows) > leaf:
@@ -93,18 +110,202 @@ def close_pairs(x: np.ndarray, least: float, leaf: int, spill: float, rng: np.ra
             if max(len(a), len(b)) <= 0.8 * len(rows):
                 work += [a, b]
                 continue
+        yield rows
+
+
+def lot(ids: np.ndarray) -> np.ndarray:
+    return H.scramble(ids.view(np.uint64) + np.uint64(SEED))
+
+
+def centres(x: np.ndarray, ids: np.ndarray, near: float, leaf: int, spill: float, rng: np.random.Generator, block: int = 512) -> np.ndarray:
+    """For each row, the row of least lot among those that a node shows within the cosine ``near``, itself included."""
+    order = np.argsort(lot(ids), kind="stable")
+    place = np.empty(len(ids), np.int64)
+    place[order] = np.arange(len(ids))
+    best = place.copy()
+    for rows in nodes(x, leaf, spill, rng):
+        rows = rows[np.argsort(place[rows], kind="stable")]
+        for i in range(0, len(rows), block):
+            some = rows[i : i + block]
+            todo = np.arange(len(some))
+            for j in range(0, i + len(some), block):  # a row that has met one has its best
+                close = x[some[todo]] @ x[rows[j : j + block]].T >= near
+                met = close.any(1)
+                best[some[todo[met]]] = np.minimum(best[some[todo[met]]], place[rows[j + close[met].argmax(1)]])
+                todo = todo[~met]
+                if not len(todo):
+                    break
+    return order[best]
+
+
+def close_pairs(x: np.ndarray, centre: np.ndarray, least: float, leaf: int, spill: float, rng: np.random.Generator, block: int = 512) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of rows of different centres with a cosine of at least ``least`` that one more random tree finds in this group."""
+    left, right = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for rows in nodes(x, leaf, spill, rng):
         for i in range(0, len(rows), block):
             for j in range(i, len(rows), block):
-                r, s = np.nonzero(x[rows[i : i + block]] @ x[rows[j : j + block]].T >= least)
-                r, s = rows[r + i], rows[s + j]
-                left.append(np.minimum(r, s)[r != s])
-                right.append(np.maximum(r, s)[r != s])
-    if not left:
-        return np.empty(0, np.int64), np.empty(0, np.int64)
+                a, b = rows[i : i + block], rows[j : j + block]
+                r, s = np.nonzero((x[a] @ x[b].T >= least) & (centre[a][:, None] != centre[b][None, :]))
+                left.append(np.minimum(a[r], b[s]))
+                right.append(np.maximum(a[r], b[s]))
     pairs = np.unique(np.column_stack([np.concatenate(left), np.concatenate(right)]), axis=0)
     return pairs[:, 0], pairs[:, 1]
 
 
+def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(rows, -1)
+
+
+def _rng(*key) -> np.random.Generator:
+    return np.random.default_rng([SEED, *(int(k) & (1 << 63) - 1 for k in key)])
+
+
+class Forest:
+    """Deals rows of ``classes`` (id, v) to the leaves of random-projection trees."""
+
+    def __init__(self, classes: DataFrame, trees: int, spill: float, group: int, sample_rows: int) -> None:
+        self.trees, self.spill, self.group = trees, spill, group
+        n = classes.count()
+        sample = [r.v for r in classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]  # sample_rows, a bound
+        depth = max(0, math.ceil(math.log2(max(1, n / group)))) if sample else 0
+        self.depth = min(depth, max(0, int(math.log2(max(1, len(sample) / 16)))))
+        unit = lambda d: np.array([np.array(v) / np.linalg.norm(v) for v in sample if len(v) == d])
+        self.fits = {d: [fit_tree(unit(d), directions(t, self.depth, d)[: self.depth], spill) for t in range(trees)] for d in {len(v) for v in sample}}
+
+    def _first(self, classes: DataFrame, trees: int) -> DataFrame:
+        """(id, v, centre) -> DEALT by the upper levels."""
+        fits, depth, spill = self.fits, self.depth, self.spill
+
+        def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                dim, ok, unit = unit_vectors(b.column("v"))
+                ids, centre = b.column("id").to_numpy(), b.column("centre").to_numpy()
+                for d in np.unique(dim[ok]):
+                    own = np.flatnonzero(ok & (dim == d))
+                    x = np.array([unit[i] for i in own])
+                    for t in range(trees):
+                        row, node = leaves(x, fits[int(d)][t] if int(d) in fits else [], directions(t, max(1, depth), int(d)), spill)
+                        yield _dealt(t, int(d), 0, node, ids[own][row], centre[own][row], x[row])
+
+        return classes.select("id", "v", "centre").mapInArrow(deal, DEALT)
+
+    def deal(self, classes: DataFrame, trees: int) -> tuple[DataFrame, DataFrame | None]:
+        """DEALT rows of leaves that fit a task, and those of larger leaves that no longer thin out, if there are any."""
+        now, fit, tight, n_round = self._first(classes, trees), None, None, 0
+        both = lambda a, b: b if a is None else a.unionByName(b)
+        sizes = now.groupBy(*LEAF).agg(F.count("*").alias("n"))
+        large = stage(sizes.where(F.col("n") > self.group).withColumn("stuck", F.lit(False)), "leaves")
+        while large.take(1):
+            rows = now.join(large, LEAF)
+            fit = both(fit, now.join(large, LEAF, "left_anti"))
+            tight = both(tight, rows.where("stuck").drop("n", "stuck"))
+            more = stage(rows.where("not stuck"), "oversized")
+            now = stage(self._split(more, n_round + 1), "leaves")
+            n_round += 1
+            # A child with most of its parent's rows is a cluster that cuts don't thin out.
+            parents = more.groupBy(*LEAF).agg(F.first("n").alias("whole")).select("tree", "dim", (F.col("leaf") * (1 << LEVELS)).alias("low"), "whole")
+            sizes = now.groupBy(*LEAF).agg(F.count("*").alias("n")).where(F.col("n") > self.group)
+            same = [sizes["tree"] == parents["tree"], sizes["dim"] == parents["dim"], sizes["leaf"] - F.pmod(sizes["leaf"], F.lit(1 << LEVELS)) == parents["low"]]
+            large = stage(sizes.join(parents, same).select(*[sizes[c] for c in LEAF], "n", (F.col("n") > 0.8 * F.col("whole")).alias("stuck")), "leaves")
+        return both(fit, now), tight
+
+    def _split(self, rows: DataFrame, n_round: int) -> DataFrame:
+        """Rows of oversized leaves (with n) -> DEALT, LEVELS levels further down."""
+        spill = self.spill
+
+        def fit(key: tuple, table: pa.Table) -> pa.Table:
+            t, d, _, leaf = (k.as_py() for k in key)
+            cuts = fit_tree(_matrix(table.column("x"), table.num_rows), directions(t, LEVELS, d, n_round), spill)
+            return pa.table({**{c: pa.array([k.as_py()], pa.int64() if c == "leaf" else pa.int32()) for c, k in zip(LEAF, key, strict=True)}, "cuts": pa.array([np.concatenate(cuts).tolist()], pa.list_(pa.float64()))})
+
+        def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                tree, dim, leaf, ids, centre = (b.column(c).to_numpy() for c in ("tree", "dim", "leaf", "id", "centre"))
+                for t, d, k in sorted(set(zip(tree.tolist(), dim.tolist(), leaf.tolist(), strict=True))):
+                    own = np.flatnonzero((tree == t) & (dim == d) & (leaf == k))
+                    cuts = np.array(b.column("cuts")[int(own[0])].as_py())
+                    x = _matrix(b.column("x").take(pa.array(own)), len(own))
+                    row, node = leaves(x, [cuts[(1 << i) - 1 : (2 << i) - 1] for i in range(LEVELS)], directions(t, LEVELS, d, n_round), spill)
+                    yield _dealt(t, d, n_round, k * (1 << LEVELS) + node, ids[own][row], centre[own][row], x[row])
+
+        few = rows.where(F.pmod(F.xxhash64("id", F.lit(n_round)), F.col("n")) < SEEN).select(*LEAF, "x")
+        cuts = few.groupBy(*LEAF).applyInArrow(fit, "tree int, dim int, round int, leaf long, cuts array<double>")
+        return rows.join(cuts, LEAF).select(*LEAF, "id", "centre", "x", "cuts").mapInArrow(split, DEALT)
+
+
+def _dealt(tree: int, dim: int, n_round: int, leaf: np.ndarray, ids: np.ndarray, centre: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+    n = len(leaf)
+    return pa.RecordBatch.from_arrays([
+        pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, n_round, np.int32)), pa.array(leaf), pa.array(ids), pa.array(centre), pa.array([v.tobytes() for v in x], pa.binary()),
+    ], names=DEALT.replace(",", "").split()[::2])
+
+
+def _find_centres(fit: DataFrame, tight: DataFrame | None, near: float, leaf: int, spill: float) -> DataFrame:
+    """(id, to): a centre of each vector that has another than itself, over all its leaves."""
+
+    def seek(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        best = ids[centres(_matrix(table.column("x"), len(ids)), ids, near, leaf, spill, _rng(*(k.as_py() for k in key)))]
+        other = best != ids
+        return pa.table({"id": pa.array(ids[other]), "to": pa.array(best[other])})
+
+    found = fit.groupBy(*LEAF).applyInArrow(seek, "id long, to long")
+    if tight is not None:
+        # The vectors of a tight leaf look only at its least one.
+        chief = tight.groupBy(*LEAF).agg(F.min_by(F.struct("id", "x"), F.xxhash64("id")).alias("c"))
+
+        def beside(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                own, to = b.column("id").to_numpy(), b.column("to").to_numpy()
+                d = b.column("dim").to_numpy()
+                close = np.zeros(len(own), bool)
+                for k in np.unique(d):
+                    i = np.flatnonzero(d == k)
+                    close[i] = np.einsum("ij,ij->i", *(_matrix(b.column(c).take(pa.array(i)), len(i)) for c in ("x", "y"))) >= near
+                i = np.flatnonzero(close & (own != to))
+                yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(to[i])], names=["id", "to"])
+
+        pairs = tight.join(chief, LEAF).select("dim", "id", "x", F.col("c.id").alias("to"), F.col("c.x").alias("y"))
+        found = found.unionByName(pairs.mapInArrow(beside, "id long, to long"))
+    return found.groupBy("id").agg(F.min_by("to", F.xxhash64("to")).alias("to"))
+
+
+def _find_links(fit: DataFrame, tight: DataFrame | None, least: float, leaf: int, spill: float, part: int) -> DataFrame:
+    """(a, b): pairs of different centres."""
+
+    def compare(key: tuple, table: pa.Table) -> pa.Table:
+        ids = table.column("id").to_numpy()
+        order = np.argsort(ids, kind="stable")
+        a, b = close_pairs(_matrix(table.column("x"), len(ids))[order], table.column("centre").to_numpy()[order], least, leaf, spill, _rng(*(k.as_py() for k in key)))
+        return pa.table({"a": pa.array(ids[order[a]]), "b": pa.array(ids[order[b]])})
+
+    found = fit.groupBy(*LEAF).applyInArrow(compare, "a long, b long")
+    if tight is not None:
+        # Vectors outside a leaf's main centre against all of the leaf, as a table of parts.
+        counts = tight.groupBy(*LEAF, "centre").agg(F.count("*").alias("n")).groupBy(*LEAF).agg(F.max_by("centre", F.struct("n", "centre")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+        counts = counts.select(*LEAF, "main", F.ceil((F.col("all") - F.col("most")) / part).cast("int").alias("rows"), F.ceil(F.col("all") / part).cast("int").alias("cols")).where("rows > 0")
+        placed = tight.join(counts, LEAF)
+        at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        x = placed.where("centre <> main").withColumn("row", at("rows")).withColumn("col", every("cols")).withColumn("rest", F.lit(True))
+        y = placed.withColumn("col", at("cols")).withColumn("row", every("rows")).withColumn("rest", F.lit(False))
+
+        def against(key: tuple, table: pa.Table) -> pa.Table:
+            ids, centre, rest = (table.column(c).to_numpy() for c in ("id", "centre", "rest"))
+            v = _matrix(table.column("x"), len(ids))
+            mine, all_ = np.flatnonzero(rest), np.flatnonzero(~rest)
+            out = [np.empty((0, 2), np.int64)]
+            for i in range(0, len(mine), 512):
+                a = mine[i : i + 512]
+                r, s = np.nonzero((v[a] @ v[all_].T >= least) & (centre[a][:, None] != centre[all_][None, :]))
+                out.append(np.sort(np.column_stack([ids[a[r]], ids[all_[s]]]), axis=1))
+            pairs = np.unique(np.concatenate(out), axis=0)
+            return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+        found = found.unionByName(x.unionByName(y).groupBy(*LEAF, "row", "col").applyInArrow(against, "a long, b long"))
+    return found.distinct()
+
+
 def near_duplicates(
     vectors: DataFrame,
     *,
@@ -119,57 +320,39 @@ def near_duplicates(
 ) -> DataFrame:
     """Link vectors with a cosine of at least ``least``; groups are what links connect.
 
-    Returns, per row: vec_id, n_links (other rows linked directly), component_id (the smallest
-    id reachable), kept (vec_id = component_id). Null vectors, zero ones and those with null or
-    non-finite components link with nothing; vectors of different lengths never do. Equal
-    vectors are one class that is compared once and linked with itself; rows with equal ids
-    count as one node (its rows are listed each); null ids link with nothing; an empty table
-    gives an empty table. ``sample_rows`` bounds the sample that the trees' upper levels see;
-    every row is indexed. Found links are true ones; measured recall is in the tests.
+    Returns, per row: vec_id, n_links (other vectors linked directly), component_id (the smallest
+    id reachable), kept (vec_id = component_id), centre_id: vectors of one centre are all linked,
+    so centres, memberships and listed pairs stand for all links. Null vectors, zero ones and
+    those with null or non-finite components link with nothing, nor do rows with null ids;
+    vectors of different lengths never do. Equal vectors are one class that is compared once and
+    linked with itself; rows with equal ids count as one node (its rows are listed each); other
+    columns, whatever their names, are ignored; an empty table gives an empty table.
+    ``sample_rows`` bounds the sample that the trees' upper levels see; every row is indexed.
+    Found links are true ones; measured recall is in the tests and the README.
     """
     rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = stage(rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("key", F.when(F.col("good"), F.sha2(F.array_join("v", ",").cast("binary"), 256))), "vectors")
     usable = rows.where("good")
     classes = stage(usable.groupBy("key").agg(F.min("vec_id").alias("id"), F.countDistinct("vec_id").alias("size"), F.first("v").alias("v")), "classes")
-    n = classes.count()
-    sample = [r.v for r in classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]
-    depth = max(0, math.ceil(math.log2(max(1, n / group)))) if sample else 0
-    depth = min(depth, max(0, int(math.log2(max(1, len(sample) / 16)))))
-    dims = sorted({len(v) for v in sample})
-    forests = {d: fit_forest(np.array([np.array(v) / np.linalg.norm(v) for v in sample if len(v) == d]), trees, depth) for d in dims}
-
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            dim, ok, unit = unit_vectors(b.column("v"))
-            ids = b.column("id").to_numpy()
-            for d in np.unique(dim[ok]):
-                own = np.flatnonzero(ok & (dim == d))
-                x = np.array([unit[i] for i in own])
-                for t in range(trees):
-                    levels = forests[int(d)][t] if int(d) in forests else []
-                    row, node = leaves(x, levels, directions(t, max(1, depth), int(d)), spill)
-                    yield pa.RecordBatch.from_arrays([
-                        pa.array(np.full(len(row), t, np.int32)), pa.array(np.full(len(row), int(d), np.int32)), pa.array(node), pa.array(ids[own][row]),
-                        pa.array([x[i].tobytes() for i in row], pa.binary()),
-                    ], names=["tree", "dim", "leaf", "id", "x"])
+    forest = Forest(classes, trees, spill, group, sample_rows)
 
-    def compare(key: tuple, table: pa.Table) -> pa.Table:
-        ids = table.column("id").to_numpy()
-        order = np.argsort(ids, kind="stable")
-        ids, x = ids[order], np.frombuffer(b"".join(table.column("x").to_pylist()), np.float64).reshape(len(ids), -1)[order]
-        a, b = close_pairs(x, least, leaf, spill, np.random.default_rng([SEED, *(int(k.as_py()) for k in key)]))
-        return pa.table({"a": pa.array(ids[a], pa.int64()), "b": pa.array(ids[b], pa.int64())})
+    # Half the link angle, and a little less: two vectors this close to a third are linked.
+    near = math.sqrt((1 + least) / 2) + 1e-9
+    to = stage(_find_centres(*forest.deal(classes.withColumn("centre", F.col("id")), max(1, trees // 3)), near, leaf, spill), "centres")
+    about = stage(classes.join(to, "id", "left").select("key", "id", "size", "v", F.coalesce("to", "id").alias("centre")), "classes")
+    links = stage(_find_links(*forest.deal(about, trees), least, leaf, spill, group // 2), "links")
+    discard(classes)
 
-    dealt = classes.select("id", "v").mapInArrow(deal, "tree int, dim int, leaf long, id long, x binary")
-    found = dealt.groupBy("tree", "dim", "leaf").applyInArrow(compare, "a long, b long")
-    links = stage(found.distinct(), "links")
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    sizes = classes.select(F.col("id").alias("b"), "size")
-    degree = both.join(sizes, "b").groupBy("a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "id")
-    groups = components(links)
-    about = classes.select("key", "id", "size").join(degree, "id", "left").join(groups, "id", "left")
-    about = about.select("key", (F.col("size") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
-    out = rows.select("vec_id", "key").join(about, "key", "left")
+    degree = both.join(about.select(F.col("id").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "id")
+    within = about.groupBy("centre").agg(F.sum("size").alias("mates"))
+    groups = components(links.unionByName(about.where("id <> centre").select(F.col("id").alias("a"), F.col("centre").alias("b"))))
+    per = about.select("key", "id", "centre").join(within, "centre").join(degree, "id", "left").join(groups, "id", "left")
+    per = per.select("key", "centre", (F.col("mates") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "id").alias("component"))
+    out = rows.select("vec_id", "key").join(per, "key", "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"))
+    return out.select(
+        "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"),
+        F.coalesce(F.col("vec_id") == component, F.lit(True)).alias("kept"), F.coalesce("centre", "vec_id").alias("centre_id"),
+    )
