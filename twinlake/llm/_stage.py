@@ -12,7 +12,8 @@ import gc
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 #: Bytes of input files whose records one task of a shuffle may be given.
@@ -88,6 +89,28 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
 
 
+def renamed(columns: list[str], own: set[str]) -> dict[str, str]:
+    """What an operator's result calls the input's columns: one with the name of a column of its own gets ``_input`` after it."""
+    out: dict[str, str] = {}
+    for c in columns:
+        name = c
+        while name.lower() in own | {x.lower() for x in out.values()}:
+            name += "_input"
+        out[c] = name
+    return out
+
+
+def whole_row(columns: list[str]) -> Column:
+    """A row's columns, whatever their names, as one struct."""
+    return F.struct(*[F.col("`" + c.replace("`", "``") + "`") for c in columns])
+
+
+def fields(row: str, names: dict[str, str] | list[str]) -> list[Column]:
+    """The columns of such a struct again."""
+    names = names if isinstance(names, dict) else {c: c for c in names}
+    return [F.col(row).getField(c).alias(name) for c, name in names.items()]
+
+
 def tasks_for(df: DataFrame) -> int:
     """How many tasks should share what ``df`` reads: the session's shuffle partitions, or more where the input is large."""
     leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()

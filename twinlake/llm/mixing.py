@@ -13,8 +13,9 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from twinlake.llm._stage import stage
+from twinlake.llm._stage import fields, renamed, stage, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -69,18 +70,31 @@ def mix_sources(
     Returns, per input row: doc_id, size, source_size, target (its source's), taken, plus the
     columns in ``keep``. A source of S words and a target of t takes floor(t) words: whole
     passes over all its documents, then documents in key order until the budget is met; the
-    last one is taken in part. Null or empty texts have size 0 and take 0; null sources form
-    one source, the last; rows with null or repeated ids are separate rows (equal keys are
-    ordered by id and size, so only identical rows can change places). An empty table gives
-    an empty table. ``digits`` hex digits of the key make 16**digits ranges a source.
+    last one is taken in part. Null or empty texts have size 0 and take 0, very long ones count
+    whole; null sources form one source, the last. A row with a null id gets its key from its
+    text, so that many of them spread; rows of equal keys are ordered by id, size and a hash of
+    the text, so only rows with equal id and text can change places. An empty table gives an
+    empty table. Kept columns may have any name and type; one with the name of a column of the
+    result comes back with ``_input`` after its name. ``digits`` hex digits of the key make
+    16**digits ranges a source; the targets are computed on one row a source in one task.
     """
+    out = _mixed(docs, list(keep), id_col, text_col, source_col, weights, share, cap, seed, digits)
+    return out.select("doc_id", "size", "source_size", "target", "taken", *fields("kept", renamed(list(keep), {"doc_id", "size", "source_size", "target", "taken"})))
+
+
+def _mixed(
+    docs: DataFrame, keep: list[str], id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    weights: Sequence[float] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, seed: str = "mix-1", digits: int = 3,
+) -> DataFrame:
+    """(doc_id, size, source_size, target, taken, kept) of each row: what it gives to the mix, and the columns in ``keep`` as a struct."""
     rows = docs.select(
         F.col(id_col).alias("doc_id"),
         F.col(source_col).isNull().cast("int").alias("snull"),
         F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("skey"),
         word_count(F.col(text_col)).alias("size"),
-        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))).cast("binary")).alias("key"),
-        *[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)],
+        F.md5(F.concat(F.lit(seed + ":"), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null:"), F.md5(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))))).cast("binary")).alias("key"),
+        F.xxhash64(F.col(text_col)).alias("tie"),
+        (whole_row(keep) if keep else F.lit(None).cast("int")).alias("kept"),
     )
     rows = stage(rows, "mixing").withColumn("cell", F.substring("key", 1, digits))
     src, at = ["snull", "skey"], ["snull", "skey", "cell"]
@@ -89,37 +103,39 @@ def mix_sources(
     cells = cells.withColumn("before", F.coalesce(F.sum("cell_size").over(earlier), F.lit(0)))
     targets = source_targets(cells.groupBy(*src).agg(F.sum("cell_size").alias("source_size")), weights, share, cap)
     cells = cells.join(targets, src).select(*at, "before", "source_size", "target")
-    inside = Window.partitionBy(*at).orderBy("key", "doc_id", "size", *[f"keep_{i}" for i in range(len(keep))]).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    inside = Window.partitionBy(*at).orderBy("key", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     out = rows.join(cells, at).withColumn("start", F.col("before") + F.sum("size").over(inside) - F.col("size"))
     budget = F.floor("target").cast("long")
     passes = F.when(F.col("source_size") > 0, F.floor(budget / F.greatest(F.col("source_size"), F.lit(1)))).otherwise(0).cast("long")
     rest = budget - passes * F.col("source_size")
     taken = passes * F.col("size") + F.greatest(F.lit(0).cast("long"), F.least("size", rest - F.col("start")))
-    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), *[F.col(f"keep_{i}").alias(c) for i, c in enumerate(keep)])
+    return out.select("doc_id", "size", "source_size", "target", taken.alias("taken"), "kept")
 
 
 def repeat_texts(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: rows of ``docs`` as often as the mix takes them, with the same columns.
+    """The mix itself: rows of ``docs`` as often as the mix takes them, with the same columns, whatever their names and types.
 
-    A document taken in part comes with its first words only, joined by one space, and n_chars
-    counted anew. Documents without words add nothing to a mix of words.
+    A document taken in part comes with its first words only, joined by one space, and a numeric
+    n_chars counted anew. Documents without words add nothing to a mix of words. Nulls, ties and empty
+    tables count as in :func:`mix_sources`.
     """
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    mixed = mix_sources(docs, keep=["text", *rest], **options).where("taken > 0")
+    mixed = _mixed(docs, docs.columns, **options).where("taken > 0")
+    text = F.col("kept").getField("text")
     whole, part = F.floor(F.col("taken") / F.col("size")).cast("int"), (F.col("taken") % F.col("size")).cast("int")
-    cut = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), 1, part), " ")
-    texts = F.concat(F.array_repeat("text", whole), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
-    out = mixed.withColumn("part", part).withColumn("text", F.explode(texts))
-    if "n_chars" in rest:
-        out = out.withColumn("n_chars", F.when(F.col("part") > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    cut = F.array_join(F.slice(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), 1, part), " ")
+    texts = F.concat(F.array_repeat(text, whole), F.when(part > 0, F.array(cut)).otherwise(F.array().cast("array<string>")))
+    out = mixed.select("kept", (part > 0).alias("in_part"), F.explode(texts).alias("new_text"))
+    new = {"text": F.col("new_text").alias("text")}
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, NumericType):
+        new["n_chars"] = F.when(F.col("in_part"), F.char_length("new_text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("kept").getField("n_chars")).alias("n_chars")
+    return out.select(*[new.get(c, x) for c, x in zip(docs.columns, fields("kept", docs.columns), strict=True)])
 
 
 ORACLE = r"""
 WITH r AS (
   SELECT doc_id, CASE WHEN source IS NULL THEN 1 ELSE 0 END AS snull, coalesce(source, '') AS skey,
          CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size,
-         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null')) AS key
+         md5('mix-1:' || coalesce(CAST(doc_id AS VARCHAR), 'null:' || md5(coalesce(text, '')))) AS key
   FROM documents
 ), s AS (
   SELECT snull, skey, CAST(sum(size) AS BIGINT) AS source_size FROM r GROUP BY snull, skey

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from twinlake.llm import _hashing as H
 from twinlake.llm._fragments import ROUTED, SEGMENTS, batched, fragment_of, gather, in_fragments, pack, pack_records, routed, row_ids, segments, split, spread, unpack
-from twinlake.llm._stage import discard, shuffle_partitions, stage, tasks_for
+from twinlake.llm._stage import discard, fields, shuffle_partitions, stage, tasks_for, whole_row
 from twinlake.llm.components import components
 
 U = np.uint64
@@ -368,6 +368,6 @@ def keep_one(docs: DataFrame, *, size: int = 5, percent: int = 75) -> DataFrame:
     Groups are those of :func:`jaccard_groups`: texts without words stay, an empty table stays so,
     of repeated rows one stays, and other columns come back as they were.
     """
-    own = row_ids(docs.select("doc_id", "text", F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_all")))
+    own = row_ids(docs.select("doc_id", "text", whole_row(docs.columns).alias("_all")))
     first = _groups(own.select("rid", "text"), size, percent).where("rid = component").select("rid")
-    return own.join(first, "rid", "left_semi").select("_all.*")
+    return own.join(first, "rid", "left_semi").select(*fields("_all", docs.columns))

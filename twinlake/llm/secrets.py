@@ -11,10 +11,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import NumericType
 
-from twinlake.llm._stage import stage
+from twinlake.llm._stage import fields, renamed, stage, whole_row
 
 
 def _either_case(word: str) -> str:
@@ -28,40 +29,41 @@ HEX = r"[0-9a-f]{24,}"
 OPAQUE = r"[A-Za-z0-9+/_-]{24,}"
 #: Kinds in the order that breaks ties of a start.
 KINDS = ("assign", "access", "hex", "owned")
-SPAN = "array<struct<start:bigint,kind:int,end:bigint,value:string>>"
+MATCH = "array<struct<kind:int,pos:int,gap:bigint,size:bigint,value:string>>"
+#: Characters of a value that count, by kind; matches with fewer are dropped after their places are known.
+LEAST = (6, 20, 24, 24)
 
 
-def _spans(text: Column, pattern: str, kind: int, group: int, least: int) -> Column:
-    """Spans of a pattern's leftmost non-overlapping matches, in code points; the value is the group that ends the match.
+def _matches(text: Column, pattern: str, kind: int, group: int) -> Column:
+    """A pattern's leftmost non-overlapping matches: number, characters since the one before, size, and the group that ends the match.
 
-    Gaps come from split, matches from regexp_extract_all: the k-th match starts after k gaps and k - 1 matches.
+    Gaps come from split, matches from regexp_extract_all: a match starts where the gaps and matches before it end.
     """
     whole = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     value = F.regexp_extract_all(text, F.lit(pattern), F.lit(group))
-    sizes = F.zip_with(F.split(text, pattern, -1), whole, lambda g, m: F.struct(F.char_length(g).cast("long").alias("gap"), F.char_length(m).cast("long").alias("len"), m.alias("m")))
-    found = F.arrays_zip(F.filter(sizes, lambda x: x["m"].isNotNull()).alias("s"), value.alias("v"))
-    start = F.aggregate(
-        found,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPAN).alias("out")),
-        lambda acc, x: F.struct(
-            (acc["at"] + x["s"]["gap"] + x["s"]["len"]).alias("at"),
-            F.when(
-                F.char_length(x["v"]) >= least,
-                F.concat(acc["out"], F.array(F.struct((acc["at"] + x["s"]["gap"]).alias("start"), F.lit(kind).alias("kind"), (acc["at"] + x["s"]["gap"] + x["s"]["len"]).alias("end"), x["v"].alias("value")))),
-            )
-            .otherwise(acc["out"])
-            .alias("out"),
-        ),
-        lambda acc: acc["out"],
+    both = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), whole.alias("whole"), value.alias("value"))
+    found = F.transform(
+        F.filter(both, lambda x: x["whole"].isNotNull()),
+        lambda x, i: F.struct(F.lit(kind).alias("kind"), i.alias("pos"), F.char_length(x["gap"]).cast("long").alias("gap"), F.char_length(x["whole"]).cast("long").alias("size"), x["value"].alias("value")),
     )
-    return F.when(F.rlike(text, F.lit(pattern)), start).otherwise(F.array().cast(SPAN))
+    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast(MATCH))
 
 
 def candidates(text: Column) -> Column:
-    """All candidate spans of a text, null as empty: the base kinds and random-looking strings of the fourth kind."""
+    """All matches in a text, null as empty: the base kinds, and runs of letters and digits as the fourth kind."""
     t = F.coalesce(text, F.lit(""))
-    mixed = F.filter(_spans(t, OPAQUE, 3, 0, 24), lambda x: F.rlike(x["value"], F.lit("[0-9]")) & F.rlike(x["value"], F.lit("[a-z]")) & F.rlike(x["value"], F.lit("[A-Z]")))
-    return F.concat(_spans(t, ASSIGN, 0, 1, 6), _spans(t, ACCESS, 1, 0, 20), _spans(t, HEX, 2, 0, 24), mixed)
+    return F.concat(_matches(t, ASSIGN, 0, 1), _matches(t, ACCESS, 1, 0), _matches(t, HEX, 2, 0), _matches(t, OPAQUE, 3, 0))
+
+
+def _placed(found: DataFrame) -> DataFrame:
+    """(rid, .., found) -> a row a span with start and end, in code points; the fourth kind only where letters of both cases and digits mix."""
+    each = found.select(*[c for c in found.columns if c != "found"], F.explode("found").alias("x"))
+    until = F.sum(F.col("x.gap") + F.col("x.size")).over(Window.partitionBy("rid", "x.kind").orderBy("x.pos").rowsBetween(Window.unboundedPreceding, 0))
+    each = each.withColumn("end", until).withColumn("start", F.col("end") - F.col("x.size"))
+    value = F.col("x.value")
+    enough = F.char_length(value) >= F.element_at(F.array(*map(F.lit, LEAST)), F.col("x.kind") + 1)
+    mixed = F.rlike(value, F.lit("[0-9]")) & F.rlike(value, F.lit("[a-z]")) & F.rlike(value, F.lit("[A-Z]"))
+    return each.where(enough & ((F.col("x.kind") < 3) | mixed))
 
 
 def _live_looking(value: Column) -> Column:
@@ -89,35 +91,41 @@ def scan_secrets(
     sorted by start and kind; kind indexes KINDS; class is ``example`` (at least
     ``example_owners`` distinct owners, or as many repositories and two owners), ``live`` (one
     owner, random-looking) or ``shared``. Base spans always stay; spans of the fourth kind
-    stay where they are live and lie outside every base span. Null texts count as empty; null
-    owners and repositories count as one owner and one repository; repeated rows are rows of
-    their own; an empty table gives an empty table. A value that a third of all rows hold is
-    counted by partial aggregation, and its join back is one that Spark splits when skewed.
+    stay where they are live and lie outside every base span. Null and empty texts have no spans;
+    very long ones are scanned whole. Null owners and repositories count as one owner and one
+    repository; repeated rows are rows of their own; an empty table gives an empty table. A kept
+    column may have any name and type; one called ``spans`` comes back as ``spans_input``. A value
+    that a third of all rows hold is counted by partial aggregation, and its join back is one that
+    Spark splits when skewed.
     """
+    found = _scan(docs, list(keep), text_col, owner, repository, example_owners)
+    return found.select(*fields("kept", renamed(list(keep), {"spans"})), "spans")
+
+
+def _scan(docs: DataFrame, keep: list[str], text_col: str = "text", owner: Column | None = None, repository: Column | None = None, example_owners: int = 3) -> DataFrame:
+    """(kept, spans) of each row: the columns in ``keep`` as a struct, and its spans."""
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
     base = docs.select(
-        F.struct(*[F.col(c) for c in keep]).alias("kept"),
+        whole_row(keep).alias("kept"),
         F.coalesce(owner.cast("string"), F.lit("")).alias("owner"),
         F.coalesce(repository.cast("string"), F.lit("")).alias("repo"),
         candidates(F.col(text_col)).alias("found"),
     )
     base = stage(base.withColumn("rid", F.monotonically_increasing_id()), "secrets")
     some = base.where(F.size("found") > 0)
-    each = some.select("rid", "owner", "repo", F.explode("found").alias("x")).withColumn("h", F.sha2(F.col("x.value").cast("binary"), 256))
-    held = each.groupBy("h", "owner", "repo").agg(F.first("x.value").alias("value"))
+    each = _placed(some.select("rid", "owner", "repo", "found")).withColumn("h", F.sha2(F.col("x.value").cast("binary"), 256))
+    each = stage(each.select("rid", "owner", "repo", "h", "start", "end", F.col("x.kind").alias("kind"), F.col("x.value").alias("value")), "spans")
+    held = each.groupBy("h", "owner", "repo").agg(F.first("value").alias("value"))
     counts = held.groupBy("h").agg(F.countDistinct("owner").alias("owners"), F.count("*").alias("repos"), F.first("value").alias("value"))
     wide = (F.col("owners") >= example_owners) | ((F.col("owners") >= 2) & (F.col("repos") >= example_owners))
     classes = counts.select("h", F.when(wide, "example").when((F.col("owners") == 1) & _live_looking(F.col("value")), "live").otherwise("shared").alias("class"))
-    spans = (
-        each.join(classes, "h")
-        .groupBy("rid")
-        .agg(F.array_sort(F.collect_list(F.struct(F.col("x.start").alias("start"), F.col("x.kind").alias("kind"), F.col("x.end").alias("end"), F.col("x.value").alias("value"), "class"))).alias("spans"))
-    )
+    spans = each.join(classes, "h").groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("start", "kind", "end", "value", "class"))).alias("spans"))
     inside = lambda x: F.exists(F.filter("spans", lambda y: y["kind"] < 3), lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
     spans = spans.withColumn("spans", F.filter("spans", lambda x: (x["kind"] < 3) | ((x["class"] == "live") & ~inside(x))))
-    none = base.where(F.size("found") == 0).select("kept.*", F.array().cast(spans.schema["spans"].dataType).alias("spans"))
-    return some.select("rid", "kept").join(spans, "rid").select("kept.*", "spans").unionByName(none)
+    nothing = F.array().cast(spans.schema["spans"].dataType)
+    none = base.where(F.size("found") == 0).select("kept", nothing.alias("spans"))
+    return some.select("rid", "kept").join(spans, "rid", "left").select("kept", F.coalesce("spans", nothing).alias("spans")).unionByName(none)
 
 
 def _named(x: Column) -> Column:
@@ -138,26 +146,33 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def mask_live(docs: DataFrame, mark: str = "[secret]", **options) -> DataFrame:
-    """The rows of ``docs`` with every live-looking span replaced by ``mark``; other columns as they are, n_chars counted anew."""
-    found = scan_secrets(docs, keep=docs.columns, **options)
+    """The rows of ``docs`` with every live-looking span replaced by ``mark``.
+
+    Other columns, whatever their names and types, come back as they were, but a numeric n_chars is
+    counted anew where the text changed. Texts, nulls, repeated rows and empty tables count as in
+    :func:`scan_secrets`.
+    """
+    found = _scan(docs, docs.columns, **options)
+    text = F.col("kept").getField("text")
     live = F.filter("spans", lambda x: x["class"] == "live")
     # Overlapping spans of two kinds are cut where the earlier one ended.
     cut = F.aggregate(
         live,
-        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<string>").alias("out")),
+        F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<array<bigint>>").alias("out")),
         lambda acc, x: F.when(
             x["end"] > acc["at"],
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(acc["out"], F.when(x["start"] >= acc["at"], F.array(F.substring(F.col("text"), (acc["at"] + 1).cast("int"), (x["start"] - acc["at"]).cast("int")), F.lit(mark))).otherwise(F.array().cast("array<string>"))).alias("out"),
-            ),
+            F.struct(x["end"].alias("at"), F.when(x["start"] >= acc["at"], F.concat(acc["out"], F.array(F.array(acc["at"], x["start"])))).otherwise(acc["out"]).alias("out")),
         ).otherwise(acc),
-        lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))),
     )
-    out = found.withColumn("text", F.when(F.size(live) > 0, cut).otherwise(F.col("text")))
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.size(live) > 0, F.char_length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out.select(*docs.columns)
+    piece = lambda a, b: F.substring(text, (a + 1).cast("int"), (b - a).cast("int"))
+    out = found.withColumn("cut", cut).withColumn("masked", F.when(
+        F.size("cut.out") > 0,
+        F.concat(F.array_join(F.transform("cut.out", lambda x: F.concat(piece(x[0], x[1]), F.lit(mark))), ""), piece(F.col("cut.at"), F.char_length(text).cast("long"))),
+    ))
+    new = {"text": F.coalesce("masked", text).alias("text")}
+    if "n_chars" in docs.columns and isinstance(docs.schema["n_chars"].dataType, NumericType):
+        new["n_chars"] = F.when(F.col("masked").isNotNull(), F.char_length("masked").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("kept").getField("n_chars")).alias("n_chars")
+    return out.select(*[new.get(c, x) for c, x in zip(docs.columns, fields("kept", docs.columns), strict=True)])
 
 
 def oracle() -> str:

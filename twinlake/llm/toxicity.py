@@ -19,8 +19,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, IntegerType, StructField, StructType
 
 from twinlake.llm import _hashing as H
+from twinlake.llm._stage import fields, renamed, whole_row
 
 ORDER, SPAN, DECAY, WINDOW = 4, 6, 0.7, 7
 LETTERS = 27
@@ -179,7 +181,7 @@ def train(texts: list[str], toxic: np.ndarray, landmarks: int = 256, rounds: int
     the others as clean.
     """
     if not len(texts) or toxic.all() or not toxic.any():
-        return Model(np.empty(0, np.int64), np.empty(0), 0.0, float(np.log((toxic.sum() + 1) / ((~toxic).sum() + 1))) if len(texts) else 0.0)
+        return Model(np.empty(0, np.int64), np.empty(0), 0.0, min(0.0, float(np.log((toxic.sum() + 1) / ((~toxic).sum() + 1)))))
     rng = np.random.default_rng(seed)
     raw = [t.encode() for t in texts]
     marks, n_telling = choose_landmarks(raw, toxic, landmarks // 2)
@@ -242,7 +244,11 @@ def held_out(doc_id: Column) -> Column:
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, most_chars: int = 20_000) -> Model:
     """Train on a bounded sample of labelled rows: at most ``most_rows``, of texts of at most
-    ``most_chars`` characters, in the order of a hash of the id, none of them held out."""
+    ``most_chars`` characters, in the order of a hash of the id, none of them held out.
+
+    Labels that are null or of a null id don't count; of several labels of an id the highest does.
+    Without labelled rows, or with rows of one class only, every text scores the same: one half at most.
+    """
     ids = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_rows)
     own = docs.where(~held_out(F.col("doc_id")) & (F.char_length("text") <= most_chars)).select("doc_id", "text")
@@ -258,6 +264,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, *, most_rows: int = 3000, m
 
     # One task: the sample is bounded, and the executors have the memory.
     m = rows.repartition(1).mapInArrow(run, "known array<long>, value array<double>, slope double, offset double").first()
+    if m is None:
+        return train([], np.empty(0, bool))
     return Model(np.array(m.known, np.int64), np.array(m.value), m.slope, m.offset)
 
 
@@ -266,20 +274,27 @@ def score_toxicity(docs: DataFrame, model: Model, *, threshold: float = 0.7, tex
 
     Scores depend on the text alone: whole texts, of any length; null and empty texts score as
     a text without a suspect window. Repeated rows get equal scores; an empty table stays so.
+    Input columns may have any name and type; ones called score or predicted come back as
+    ``score_input`` and ``predicted_input``.
     """
-    kept = docs.schema
+    out = scored_rows(docs, model, threshold=threshold, text_col=text_col)
+    return out.select(*fields("row", renamed(docs.columns, {"score", "predicted"})), "score", "predicted")
+
+
+def scored_rows(docs: DataFrame, model: Model, *, threshold: float = 0.7, text_col: str = "text") -> DataFrame:
+    """(row, score, predicted): each row of ``docs`` as a struct, and its score."""
     slope, offset = model.slope, model.offset
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights = model.weights()
         for b in batches:
-            for chunk in H.chunks(b, text_col, 1 << 20):
-                data, at = H.buffer(chunk.column(text_col))
+            for chunk in H.chunks(b, "text", 1 << 20):
+                data, at = H.buffer(chunk.column("text"))
                 symbols, start = padded(data, at)
                 top = np.maximum.reduceat(window_scores(symbols, weights), start[:-1])
                 score = 1 / (1 + np.exp(-np.clip(slope * top + offset, -30, 30)))
-                yield pa.RecordBatch.from_arrays([*chunk.columns, pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=[*names, "score", "predicted"])
+                yield pa.RecordBatch.from_arrays([chunk.column("row"), pa.array(score), pa.array((score >= threshold).astype(np.int32))], names=["row", "score", "predicted"])
 
-    names = [c for c in docs.columns]
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
-    return docs.mapInArrow(run, f"{fields}, score double, predicted int")
+    rows = docs.select(whole_row(docs.columns).alias("row"), F.col(text_col).alias("text"))
+    kinds = StructType([rows.schema["row"], StructField("score", DoubleType()), StructField("predicted", IntegerType())])
+    return rows.mapInArrow(run, kinds)
