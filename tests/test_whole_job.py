@@ -88,17 +88,18 @@ def test_a_word_shared_by_many_is_kept(spark, tmp_path):
 
 @pytest.mark.parametrize("name", ["prune_frequent", "idf_ngram", "score_sum", "topk_by_score", "rerank_trigram", "feat_arrays", "resolve_ownership"])
 def test_small_limits_agree_with_the_sql(spark, tmp_path, monkeypatch, name):
-    """The SQL has the small limits and reads 120 characters: on texts no longer than that it is the expected result."""
+    """With limits, depth and budget small enough to prune something, in the query and in the SQL."""
     duckdb = pytest.importorskip("duckdb")
     from twinlake.operators import blocking as B
     from twinlake.plans import linkage_sql as S
 
-    monkeypatch.setattr(linkage, "PROFILE", B.Profile(limits=S.LIMITS, depth=60, budget=20))
+    limits = {"token": 50, "prefix": 50, "addr": 50, "addr_tok": 50, "acronym": 50, "tokpost": 50, "ngram": 20}
+    monkeypatch.setattr(linkage, "PROFILE", B.Profile(limits=limits, depth=60, budget=20))
     rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").orderBy("doc_id").limit(300).collect()
     sf = documents(tmp_path, [(x.text or "")[:120] for x in rows], [x.doc_id for x in rows])
     con = duckdb.connect()
     con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf}/documents.parquet'")
-    out = con.execute(linkage.ORACLES[name])
+    out = con.execute(S.resized(linkage.ORACLES[name], limits, 60, 20))
     columns = [c[0] for c in out.description]
     key = lambda row: tuple(f"{v:.5f}" if isinstance(v, float) else str(v) for v in row)
     want = sorted(map(key, out.fetchall()))

@@ -54,18 +54,19 @@ def _folds() -> tuple[str, str, dict[str, str]]:
 def clean_unicode(text: Column) -> Column:
     """Accents and compatibility forms folded; a text with letters of an Indic script is left composed.
 
-    Folding is one ``translate``. Ligatures, fractions and the like are replaced only in texts that
-    hold one. Rarer forms that decompose into several characters are folded by
+    Folding is one ``translate``. Ligatures, fractions and the like are looked up a character at a
+    time, only in texts that hold one. Rarer forms that decompose into several characters are folded by
     :func:`twinlake.functions.fuzzy.clean_unicode_exact`.
     """
     text = F.coalesce(text, F.lit(""))
     source, target, several = _folds()
     out = F.translate(text, source, target)
-    rare = out
-    for c, folded in several.items():
-        rare = F.replace(rare, F.lit(c), F.lit(folded))
+    folds = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    rare = F.array_join(F.transform(F.split(out, ""), lambda c: F.coalesce(F.try_element_at(folds, c), c)), "")
     plain = F.rlike(text, F.lit("^[\\x{00}-\\x{7F}]*$"))
-    out = F.when(F.rlike(text, F.lit("[" + "".join(several) + "]")), rare).otherwise(out)
+    # Deleting them tells whether a text holds one, faster than a pattern of so many letters.
+    holds = F.char_length(F.translate(text, "".join(several), "")) < F.char_length(text)
+    out = F.when(holds, rare).otherwise(out)
     return F.when(plain, text).when(has_indic_script(text), text).otherwise(out)
 
 
@@ -192,6 +193,15 @@ def ngrams(text: Column, n: int) -> Column:
     return F.when(size >= n, F.array_distinct(ngram_list(text, n))).when(size > 0, F.array(text)).otherwise(F.array().cast("array<string>"))
 
 
+def gram_codes(text: Column, n: int) -> Column:
+    """The same set with each n-gram (n up to 3) as one number, 21 bits a character: comparing sets needs no strings."""
+    size = F.char_length(text)
+    code = lambda letters, i: sum(((F.coalesce(F.get(letters, i + k), F.lit(0)) * F.lit(1 << 21 * (2 - k))) for k in range(n)), F.lit(0))
+    letters = F.transform(F.split(text, ""), lambda c: F.ascii(c).cast("long") + 1)
+    every = F.flatten(F.transform(F.array(letters), lambda c: F.transform(F.sequence(F.lit(0), F.greatest(size - n, F.lit(0))), lambda i: code(c, i))))
+    return F.when(size > 0, F.array_distinct(every)).otherwise(F.array().cast("array<bigint>"))
+
+
 def concat_keys(norm: Column, core: Column) -> Column:
     def joined(words: Column) -> Column:
         two, three = F.array_join(F.slice(words, 1, 2), ""), F.array_join(F.slice(words, 1, 3), "")
@@ -271,6 +281,12 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when((F.size(a) > 0) & (F.size(b) > 0), shared(a, b) / F.size(F.array_union(a, b))).otherwise(F.lit(0.0))
 
 
+def set_jaccard(a: Column, b: Column) -> Column:
+    """The same of two arrays without repeats."""
+    both = shared(a, b)
+    return F.when((F.size(a) > 0) & (F.size(b) > 0), both / (F.size(a) + F.size(b) - both)).otherwise(F.lit(0.0))
+
+
 def containment(a: Column, b: Column) -> Column:
     """Share of the smaller set that lies in the larger; 0 if either is empty."""
     least = F.least(F.size(F.array_distinct(a)), F.size(F.array_distinct(b)))

@@ -1,4 +1,4 @@
-"""Pair features. Both sides' derived fields are computed once per record; a pair only compares."""
+"""Pair features. Both sides' derived fields and sets are computed once per record; a pair only compares."""
 
 from __future__ import annotations
 
@@ -28,17 +28,38 @@ FAMILIES = {
 # End of fixed values.
 
 _SIDE = ["norm_name", "norm_addr", "core", "addr_words", "digits", "postal", "street_num", "name", "addr", "country"]
+_codes = lambda f: F.array_distinct(F.filter(F.transform(F.filter(F.array_distinct("core"), lambda t: F.char_length(t) >= 3), f), lambda v: v != ""))
+_sized = lambda runs, low, high: F.filter(runs, lambda d: F.char_length(d).between(low, high))
+#: Sets that features compare, made once a record: the columns that need them and how they come from a prepared record.
+SETS = {
+    "g2": (["char2_jaccard"], lambda: X.gram_codes(F.col("norm_name"), 2)),
+    "g3": (["name_ngram_jaccard"], lambda: X.gram_codes(F.col("norm_name"), 3)),
+    "g4": (["char4_jaccard"], lambda: X.ngrams(F.col("norm_name"), 4)),
+    "addr_g3": (["addr_char3_jaccard"], lambda: X.gram_codes(F.col("norm_addr"), 3)),
+    "sounds": (["phon_jaccard"], lambda: _codes(metaphone)),
+    "soundex": (["soundex_jaccard"], lambda: _codes(X.soundex_code)),
+    "phones": (["phone_agree"], lambda: F.array_union(X.phones(F.col("addr")), X.phones(F.col("norm_addr")))),
+    "postals": (["postal_exact"], lambda: _sized(F.col("digits"), 4, 6)),
+    "initials": (["name_acronym_match"], lambda: X.initials(F.col("core"))),
+}
 
 
-def paired(candidates: DataFrame, s1: DataFrame, targets: DataFrame) -> DataFrame:
-    """Candidates with both prepared records, as structs x and y. Raw texts of a target count only if not plain ASCII."""
+def paired(candidates: DataFrame, s1: DataFrame, targets: DataFrame, names: list[str] | None = None) -> DataFrame:
+    """Candidates with both prepared records, as structs x and y, and the sets that the named features (all if None) compare.
+
+    Raw texts of a target count only if not plain ASCII.
+    """
     t = targets if "is_s2" in targets.columns else targets.withColumn("is_s2", F.lit(0))
-    raw = lambda c: F.when(F.rlike(F.col(c), F.lit("[^\\x{00}-\\x{7F}]")), F.col(c)).otherwise(F.lit("")).alias(c)
+    raw = lambda c: F.when(F.rlike(F.col(c), F.lit("[^\\x{00}-\\x{7F}]")), F.col(c)).otherwise(F.lit(""))
     # A target's numbers are whole words of its normalised address, a record's are all runs of its raw one.
     words = X.number_words(F.col("norm_addr"))
-    sized = lambda low, high: F.coalesce(F.try_element_at(F.filter(words, lambda x: F.char_length(x).between(low, high)), F.lit(1)), F.lit(""))
-    y = t.select(F.col("id").alias("target_id"), F.struct("norm_name", "norm_addr", "core", "addr_words", F.array_distinct(words).alias("digits"), sized(4, 6).alias("postal"), sized(1, 5).alias("street_num"), raw("name"), raw("addr"), "is_s2").alias("y"))
-    x = s1.select(F.col("id").alias("s1_id"), F.struct(*_SIDE).alias("x"))
+    first = lambda low, high: F.coalesce(F.try_element_at(_sized(words, low, high), F.lit(1)), F.lit(""))
+    wanted = {k: make for k, (columns, make) in SETS.items() if names is None or set(columns) & set(names)}
+    own = [make().alias(k) for k, make in wanted.items()]
+    runs = F.concat(X.number_runs(F.col("norm_addr")), X.number_runs(raw("addr")))
+    theirs = [(_sized(runs, 4, 6) if k == "postals" else F.array_union(X.phones(raw("addr")), X.phones(F.col("norm_addr"))) if k == "phones" else make()).alias(k) for k, make in wanted.items()]
+    y = t.select(F.col("id").alias("target_id"), F.struct("norm_name", "norm_addr", "core", "addr_words", F.array_distinct(words).alias("digits"), first(4, 6).alias("postal"), first(1, 5).alias("street_num"), raw("name").alias("name"), raw("addr").alias("addr"), "is_s2", *theirs).alias("y"))
+    x = s1.select(F.col("id").alias("s1_id"), F.struct(*_SIDE, *own).alias("x"))
     return candidates.join(x, "s1_id").join(y, "target_id")
 
 
@@ -50,16 +71,16 @@ def base_columns() -> dict[str, Column]:
     """The base features that need no Python."""
     n1, n2, a1, a2 = F.col("x.norm_name"), F.col("y.norm_name"), F.col("x.norm_addr"), F.col("y.norm_addr")
     there = lambda c, otherwise=0.0: F.when(a2 == "", otherwise).otherwise(c)
-    i1, i2 = X.initials(F.col("x.core")), X.initials(F.col("y.core"))
+    i1, i2 = F.col("x.initials"), F.col("y.initials")
     prefix = F.aggregate(F.sequence(F.lit(1), F.lit(6)), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.char_length("x.postal") >= i) & (F.substring("x.postal", i, F.lit(1)) == F.substring("y.postal", i, F.lit(1))), i).otherwise(n))
     w = Window.partitionBy("s1_id")
     first = F.first_value("weight").over(w.orderBy("rank"))
     return {
         "name_exact": _flag((n1 == n2) & (n1 != "")),
         "name_jaccard": X.jaccard(F.col("x.core"), F.col("y.core")),
-        "name_ngram_jaccard": X.jaccard(X.ngrams(n1, 3), X.ngrams(n2, 3)),
+        "name_ngram_jaccard": X.set_jaccard(F.col("x.g3"), F.col("y.g3")),
         "name_len_diff": X.length_gap(n1, n2),
-        "addr_jaccard": there(X.jaccard(F.col("x.addr_words"), F.col("y.addr_words"))),
+        "addr_jaccard": there(X.set_jaccard(F.col("x.addr_words"), F.col("y.addr_words"))),
         "num_overlap": there(X.jaccard(F.col("x.digits"), F.col("y.digits"))),
         "has_matching_digits": there(_flag(F.arrays_overlap("x.digits", "y.digits"))),
         "addr_missing": _flag(a2 == ""),
@@ -81,10 +102,6 @@ def extra_columns() -> dict[str, Column]:
     """The extra features that need no Python."""
     n1, n2, a1, a2 = F.col("x.norm_name"), F.col("y.norm_name"), F.col("x.norm_addr"), F.col("y.norm_addr")
     c1, c2 = F.array_distinct("x.core"), F.array_distinct("y.core")
-    codes = lambda c, f: F.array_distinct(F.filter(F.transform(F.filter(c, lambda t: F.char_length(t) >= 3), f), lambda v: v != ""))
-    both_phones = lambda raw, norm: F.array_union(X.phones(raw), X.phones(norm))
-    postal = lambda digits: F.filter(digits, lambda d: F.char_length(d).between(4, 6))
-    target_runs = F.concat(X.number_runs(a2), X.number_runs(F.col("y.addr")))
     family = F.create_map(*[F.lit(v) for p in FAMILIES.items() for v in p])
     has = lambda *names: _flag(F.arrays_overlap("channels", F.array(*map(F.lit, names))))
     w = Window.partitionBy("s1_id")
@@ -92,17 +109,17 @@ def extra_columns() -> dict[str, Column]:
     spread = F.when(F.count("*").over(w) > 1, F.stddev_pop("weight").over(w)).otherwise(1.0)
     n_both = X.shared(F.col("x.addr_words"), F.col("y.addr_words"))
     return {
-        "phon_jaccard": X.jaccard(codes(c1, metaphone), codes(c2, metaphone)),
-        "soundex_jaccard": X.jaccard(codes(c1, X.soundex_code), codes(c2, X.soundex_code)),
-        "char2_jaccard": X.jaccard(X.ngrams(n1, 2), X.ngrams(n2, 2)),
-        "char4_jaccard": X.jaccard(X.ngrams(n1, 4), X.ngrams(n2, 4)),
+        "phon_jaccard": X.set_jaccard(F.col("x.sounds"), F.col("y.sounds")),
+        "soundex_jaccard": X.set_jaccard(F.col("x.soundex"), F.col("y.soundex")),
+        "char2_jaccard": X.set_jaccard(F.col("x.g2"), F.col("y.g2")),
+        "char4_jaccard": X.set_jaccard(F.col("x.g4"), F.col("y.g4")),
         "name_containment": X.containment(c1, c2),
         "shared_sig_count": X.shared(c1, c2).cast("double"),
         "shared_sig_ratio": X.shared(c1, c2) / F.greatest(F.lit(1), F.size(c1), F.size(c2)),
         "tokcount_diff": F.abs(F.size(c1) - F.size(c2)) / F.greatest(F.lit(1), F.size(c1) + F.size(c2)),
-        "addr_char3_jaccard": F.when((a1 != "") & (a2 != ""), X.jaccard(X.ngrams(a1, 3), X.ngrams(a2, 3))).otherwise(0.0),
-        "phone_agree": _flag(F.arrays_overlap(both_phones(F.col("x.addr"), a1), both_phones(F.col("y.addr"), a2))),
-        "postal_exact": _flag(F.arrays_overlap(postal(F.col("x.digits")), postal(target_runs))),
+        "addr_char3_jaccard": F.when((a1 != "") & (a2 != ""), X.set_jaccard(F.col("x.addr_g3"), F.col("y.addr_g3"))).otherwise(0.0),
+        "phone_agree": _flag(F.arrays_overlap("x.phones", "y.phones")),
+        "postal_exact": _flag(F.arrays_overlap("x.postals", "y.postals")),
         "addr_coverage": F.when(F.size("x.addr_words") > 0, n_both / F.size("x.addr_words")).otherwise(0.0),
         "agree_count": F.size("channels").cast("double"),
         "family_count": F.size(F.array_distinct(F.transform("channels", lambda c: F.coalesce(F.try_element_at(family, c), F.lit("other"))))).cast("double"),

@@ -17,30 +17,52 @@ from twinlake.operators import metrics as ME
 from twinlake.operators import validation as V
 from twinlake.plans import linkage_sql as S
 from twinlake.sources import tables as T
+from twinlake.sources.staging import stage
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Production limits, depth and budget. The SQL has small ones (``S.LIMITS``, depth 60, budget 20), which tests set here.
+#: Production limits, depth and budget, as in the SQL; tests set smaller ones here and there.
 PROFILE = B.PROD
 
 
+#: Tables of the query that is being built; its parts share them.
+_held: dict[str, DataFrame] | None = None
+
+
 def query(name: str, oracle: str | None = None) -> Callable[[Query], Query]:
     def add(f: Query) -> Query:
-        QUERIES[name] = f
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            global _held
+            outer, _held = _held, {} if _held is None else _held
+            try:
+                return f(spark, sf)
+            finally:
+                _held = outer
+
+        QUERIES[name] = run
         if oracle is not None:
             ORACLES[name] = oracle
-        return f
+        return run
 
     return add
 
 
+def once(name: str, make: Callable[[], DataFrame]) -> DataFrame:
+    """A table that several parts of a query read: made and written once a query."""
+    if _held is None:
+        return make()
+    if name not in _held:
+        _held[name] = stage(make(), name)
+    return _held[name]
+
+
 def records(spark: SparkSession, sf: str) -> DataFrame:
     return T.prepare(T.records_of_documents(spark, sf))
 
 
 def sides(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    r = records(spark, sf)
+    r = once("records", lambda: records(spark, sf))
     return r.where("k = 0"), r.where("k > 0").withColumn("is_s2", (F.col("k") == 1).cast("int"))
 
 
@@ -58,7 +80,7 @@ def _text(name: str, columns: dict[str, tuple[Callable[[], Column], str]]) -> No
 
 
 _text("normalize_name", {"norm_name": (lambda: F.col("norm_name"), "norm_name")})
-_text("name_tokens", {"core": (lambda: F.array_join("core", " "), "array_to_string(core, ' ')"), "suffixes": (lambda: F.array_join(X.suffix_tokens(F.col("norm_name")), " "), f"array_to_string(list_filter(words, lambda t: list_contains({S._list(X.LEGAL_SUFFIXES)}, t)), ' ')")})
+_text("name_tokens", {"core": (lambda: F.array_join("core", " "), "array_to_string(core, ' ')"), "suffixes": (lambda: F.array_join(X.suffix_tokens(F.col("norm_name")), " "), f"array_to_string(list_filter(words, lambda t: list_contains({S._list(S.LEGAL_SUFFIXES)}, t)), ' ')")})
 _text("normalize_address", {"norm_addr": (lambda: F.col("norm_addr"), "norm_addr")})
 _text("address_digits", {"digits": (lambda: listed(F.col("digits")), _sorted("list_distinct(own_runs)"))})
 _text("addr_blocking_keys", {"keys": (lambda: listed(X.address_keys(F.col("addr"), F.col("norm_addr"))), _sorted("addr_keys"))})
@@ -142,7 +164,7 @@ for _c in S.TARGET_KEYS:
 
 
 def posted(spark: SparkSession, sf: str) -> DataFrame:
-    return B.postings(sides(spark, sf)[1])
+    return once("postings", lambda: B.postings(sides(spark, sf)[1]))
 
 
 query("key_counts", S.sql("SELECT country, channel, key, n FROM counts", S.RECORDS, S.POSTINGS, S.STATS))(lambda spark, sf: B.key_counts(posted(spark, sf)))
@@ -153,24 +175,24 @@ for _c in ("addr", "ngram", "addr_tok"):
     )
 
 
-def found(spark: SparkSession, sf: str, rules: tuple[str, ...] | None = None) -> DataFrame:
+def found(spark: SparkSession, sf: str, rule: str | None = None) -> DataFrame:
     s1, targets = sides(spark, sf)
-    p = B.postings(targets, PROFILE.channels)
     asked = B.query_keys(s1, PROFILE)
-    if rules:
-        asked = asked.where(F.col("rule").isin(list(rules)))
+    p = posted(spark, sf)
+    if rule:
+        asked, p = asked.where(F.col("rule") == rule), p.where(F.col("channel") == {"concat": "token"}.get(rule, rule))
     return B.hits(B.weighted_keys(asked, B.idf(B.key_counts(p), targets), PROFILE), p)
 
 
 _ALL = (S.RECORDS, S.POSTINGS, S.STATS, S.HITS, S.SCORES)
 for _r in ("exact", "addr", "token", "concat", "prefix", "acronym", "tokpost", "addr_tok", "ngram", "phone"):
     query(f"join_{_r}", S.sql(f"SELECT s1_id, target_id, round(sum(w), 6) AS weight FROM hit WHERE rule = '{_r}' GROUP BY 1, 2", *_ALL))(
-        lambda spark, sf, r=_r: found(spark, sf, (r,)).groupBy("s1_id", "target_id").agg(F.round(F.sum("w"), 6).alias("weight"))
+        lambda spark, sf, r=_r: found(spark, sf, r).groupBy("s1_id", "target_id").agg(F.round(F.sum("w"), 6).alias("weight"))
     )
 
 
 def scored(spark: SparkSession, sf: str) -> DataFrame:
-    return B.score(found(spark, sf), PROFILE)
+    return once("scored", lambda: B.score(found(spark, sf), PROFILE))
 
 
 def ranked(spark: SparkSession, sf: str, k: int | None = None) -> DataFrame:
@@ -182,7 +204,7 @@ query("provenance", S.sql("SELECT s1_id, target_id, array_to_string(channels, ',
 query("union_of_channels", S.sql("SELECT s1_id, target_id, count(DISTINCT rule) AS rules FROM hit GROUP BY 1, 2", *_ALL))(lambda spark, sf: found(spark, sf).groupBy("s1_id", "target_id").agg(F.countDistinct("rule").alias("rules")))
 query("bonus_multi_token", S.sql("SELECT s1_id, target_id, token_hits FROM sc WHERE token_hits >= 2", *_ALL))(lambda spark, sf: scored(spark, sf).where("token_hits >= 2").select("s1_id", "target_id", "token_hits"))
 query("bonus_cross_field", S.sql("SELECT s1_id, target_id FROM sc WHERE cross_field", *_ALL))(lambda spark, sf: scored(spark, sf).where("cross_field").select("s1_id", "target_id"))
-query("topk_by_score", S.sql("SELECT s1_id, target_id, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank < 20", *_ALL))(lambda spark, sf: ranked(spark, sf).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank"))
+query("topk_by_score", S.sql("SELECT s1_id, target_id, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank < " + S.BUDGET, *_ALL))(lambda spark, sf: ranked(spark, sf).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank"))
 _TIER = """
 tier AS (
   SELECT s.id AS s1_id, coalesce(n, 0) AS n, coalesce(best, 0) AS best,
@@ -195,10 +217,10 @@ query("adaptive_budget", S.sql("SELECT s1_id, tier, CASE tier WHEN 'easy' THEN 6
 query("must_include", S.sql("SELECT s1_id, target_id FROM rk WHERE rank < 5 OR token_hits >= 2 OR cross_field", *_ALL))(lambda spark, sf: B.must_include(scored(spark, sf), 5).select("s1_id", "target_id"))
 _RERANK = f"""
 re AS (
-  SELECT rk.s1_id, rk.target_id, CASE WHEN n > 20 THEN weight + 8 * {S.jaccard("x3", "y3")} ELSE weight END AS weight
+  SELECT rk.s1_id, rk.target_id, CASE WHEN n > {S.BUDGET} THEN weight + 8 * {S.jaccard("x3", "y3")} ELSE weight END AS weight
   FROM rk JOIN (SELECT id AS s1_id, {S.gram_set("norm_name", 3)} AS x3 FROM s) USING (s1_id) JOIN (SELECT id AS target_id, {S.gram_set("norm_name", 3)} AS y3 FROM t) USING (target_id)
-  WHERE rank < 60 OR token_hits >= 2 OR cross_field)"""
-query("rerank_trigram", S.sql("SELECT s1_id, target_id, weight, rank FROM (SELECT s1_id, target_id, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY round(weight, 6) DESC, target_id) - 1 AS INTEGER) AS rank FROM re) WHERE rank < 20", *_ALL, _RERANK))(
+  WHERE rank < {S.DEPTH} OR token_hits >= 2 OR cross_field)"""
+query("rerank_trigram", S.sql("SELECT s1_id, target_id, weight, rank FROM (SELECT s1_id, target_id, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY round(weight, 6) DESC, target_id) - 1 AS INTEGER) AS rank FROM re) WHERE rank < " + S.BUDGET, *_ALL, _RERANK))(
     lambda spark, sf: B.rerank(scored(spark, sf), *sides(spark, sf), PROFILE.budget, PROFILE).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank")
 )
 query("family_quota")(lambda spark, sf: B.family_quota(scored(spark, sf), PROFILE.budget).select("s1_id", "target_id", F.array_join("channels", ",").alias("channels"), "rank"))
@@ -210,7 +232,7 @@ def probable(spark: SparkSession, sf: str) -> DataFrame:
     """The best candidates, with name similarity as a stand-in for a model's probability."""
     names = lambda df, a, b: df.select(F.col("id").alias(a), X.ngrams(F.col("norm_name"), 3).alias(b))
     s1, targets = sides(spark, sf)
-    return ranked(spark, sf).join(names(s1, "s1_id", "g1"), "s1_id").join(names(targets, "target_id", "g2"), "target_id").withColumn("p", F.round(X.jaccard(F.col("g1"), F.col("g2")), 6)).drop("g1", "g2")
+    return once("probable", lambda: ranked(spark, sf).join(names(s1, "s1_id", "g1"), "s1_id").join(names(targets, "target_id", "g2"), "target_id").withColumn("p", F.round(X.jaccard(F.col("g1"), F.col("g2")), 6)).drop("g1", "g2"))
 
 
 def ids(spark: SparkSession, sf: str) -> DataFrame:
@@ -276,30 +298,32 @@ query("stratified_split", S.sql("""SELECT s1_id AS id, country || '/' || CASE WH
 )
 query("split_disjoint", "SELECT 'x' AS id WHERE false")(lambda spark, sf: V.overlap(QUERIES["stratified_split"](spark, sf), "train", "dev"))
 
-_key_sql = "SELECT s1_id, target_id, {} FROM cand JOIN (SELECT id AS s1_id, * EXCLUDE (id) FROM s) x USING (s1_id) JOIN (SELECT id AS target_id, * EXCLUDE (id) FROM t) y USING (target_id)"
+_sets = f"* EXCLUDE (id), list_distinct(core) AS dc, list_distinct(awords) AS da, {S.gram_set('norm_name', 2)} AS g2, {S.gram_set('norm_name', 3)} AS g3, {S.gram_set('norm_name', 4)} AS g4, {S.gram_set('norm_addr', 3)} AS ag3"
+_SETS = f"x AS MATERIALIZED (SELECT id AS s1_id, {_sets} FROM s),\ny AS MATERIALIZED (SELECT id AS target_id, {_sets} FROM t)"
+_key_sql = "SELECT s1_id, target_id, {} FROM cand JOIN x USING (s1_id) JOIN y USING (target_id)"
 
 
-def pairs(spark: SparkSession, sf: str) -> DataFrame:
-    return FE.paired(ranked(spark, sf), *sides(spark, sf))
+def pairs(spark: SparkSession, sf: str, names: list[str] | None = None) -> DataFrame:
+    return FE.paired(ranked(spark, sf), *sides(spark, sf), names)
 
 
 def _features(name: str, columns: dict[str, str]) -> None:
-    oracle = S.sql(_key_sql.format(", ".join(f"round(CAST({sql} AS DOUBLE), 6) AS {c}" for c, sql in columns.items())), *_P)
-    query(name, oracle)(lambda spark, sf: _rounded(pairs(spark, sf).withColumns({c: f for c, f in {**FE.base_columns(), **FE.extra_columns()}.items() if c in columns}).select("s1_id", "target_id", *columns)))
+    oracle = S.sql(_key_sql.format(", ".join(f"round(CAST({sql} AS DOUBLE), 6) AS {c}" for c, sql in columns.items())), *_P, _SETS)
+    query(name, oracle)(lambda spark, sf: _rounded(pairs(spark, sf, list(columns)).withColumns({c: f for c, f in {**FE.base_columns(), **FE.extra_columns()}.items() if c in columns}).select("s1_id", "target_id", *columns)))
 
 
-_c1, _c2, _w1, _w2 = "list_distinct(x.core)", "list_distinct(y.core)", "list_distinct(x.awords)", "list_distinct(y.awords)"
+_c1, _c2, _w1, _w2 = "x.dc", "y.dc", "x.da", "y.da"
 _d1, _d2 = "list_distinct(x.own_runs)", f"list_distinct({S.whole_numbers('y.norm_addr')})"
 _there = lambda x: f"CASE WHEN y.norm_addr = '' THEN 0 ELSE {x} END"
 _contain = lambda a, b: f"CASE WHEN least(len({a}), len({b})) > 0 THEN CAST(len(list_intersect({a}, {b})) AS DOUBLE) / least(len({a}), len({b})) ELSE 0 END"
 _gap = lambda a, b: f"CAST(abs(length({a}) - length({b})) AS DOUBLE) / greatest(length({a}), length({b}), 1)"
 _features("feat_arrays", {
-    "name_jaccard": S.jaccard(_c1, _c2), "name_ngram_jaccard": S.jaccard(f"({S.gram_set('x.norm_name', 3)})", f"({S.gram_set('y.norm_name', 3)})"), "addr_jaccard": _there(S.jaccard(_w1, _w2)), "num_overlap": _there(S.jaccard(_d1, _d2)),
+    "name_jaccard": S.jaccard(_c1, _c2), "name_ngram_jaccard": S.jaccard("x.g3", "y.g3"), "addr_jaccard": _there(S.jaccard(_w1, _w2)), "num_overlap": _there(S.jaccard(_d1, _d2)),
     "has_matching_digits": _there(f"CASE WHEN len(list_intersect({_d1}, {_d2})) > 0 THEN 1 ELSE 0 END"), "addr_token_containment": _there(_contain(_w1, _w2)),
-    "char2_jaccard": S.jaccard(f"({S.gram_set('x.norm_name', 2)})", f"({S.gram_set('y.norm_name', 2)})"), "char4_jaccard": S.jaccard(f"({S.gram_set('x.norm_name', 4)})", f"({S.gram_set('y.norm_name', 4)})"),
+    "char2_jaccard": S.jaccard("x.g2", "y.g2"), "char4_jaccard": S.jaccard("x.g4", "y.g4"),
     "name_containment": _contain(_c1, _c2), "shared_sig_count": f"len(list_intersect({_c1}, {_c2}))", "shared_sig_ratio": f"CAST(len(list_intersect({_c1}, {_c2})) AS DOUBLE) / greatest(1, len({_c1}), len({_c2}))",
     "tokcount_diff": f"CAST(abs(len({_c1}) - len({_c2})) AS DOUBLE) / greatest(1, len({_c1}) + len({_c2}))",
-    "addr_char3_jaccard": f"CASE WHEN x.norm_addr <> '' AND y.norm_addr <> '' THEN {S.jaccard('(' + S.gram_set('x.norm_addr', 3) + ')', '(' + S.gram_set('y.norm_addr', 3) + ')')} ELSE 0 END",
+    "addr_char3_jaccard": f"CASE WHEN x.norm_addr <> '' AND y.norm_addr <> '' THEN {S.jaccard("x.ag3", "y.ag3")} ELSE 0 END",
     "addr_coverage": f"CASE WHEN len({_w1}) > 0 THEN CAST(len(list_intersect({_w1}, {_w2})) AS DOUBLE) / len({_w1}) ELSE 0 END",
 })
 _i1, _i2 = S.initials("x.core"), S.initials("y.core")
@@ -319,7 +343,7 @@ _features("feat_numeric", {
     "w_zscore": "(weight - avg(weight) OVER (PARTITION BY s1_id)) / greatest(1e-5, CASE WHEN count(*) OVER (PARTITION BY s1_id) > 1 THEN stddev_pop(weight) OVER (PARTITION BY s1_id) ELSE 1 END)",
 })
 # The oracle compares bytes, so the one letter beyond ASCII is replaced on both sides.
-query("feat_jaro_winkler", S.sql(_key_sql.format("round(jaro_winkler_similarity(translate(x.norm_name, 'ß', 'z'), translate(y.norm_name, 'ß', 'z')), 6) AS name_jaro_winkler"), *_P))(
+query("feat_jaro_winkler", S.sql(_key_sql.format("round(jaro_winkler_similarity(translate(x.norm_name, 'ß', 'z'), translate(y.norm_name, 'ß', 'z')), 6) AS name_jaro_winkler"), *_P, _SETS))(
     lambda spark, sf: pairs(spark, sf).select("s1_id", "target_id", F.round(fuzzy.jaro_winkler_udf(F.translate("x.norm_name", "ß", "z"), F.translate("y.norm_name", "ß", "z")), 6).alias("name_jaro_winkler"))
 )
 query("feat_fuzzy")(lambda spark, sf: pairs(spark, sf).select("s1_id", "target_id", fuzzy.fuzzy_features(F.col("x.norm_name"), F.col("y.norm_name"), F.col("x.norm_addr"), F.col("y.norm_addr")).alias("f")).select("s1_id", "target_id", "f.*"))
@@ -385,7 +409,7 @@ query("reverse_variants", S.sql("SELECT core[1] AS canonical, string_agg(DISTINC
 def _broken(spark: SparkSession, sf: str) -> DataFrame:
     """Result lists with planted faults: every seventh row repeats an id, every eleventh names an unknown one."""
     i = F.substring_index("s1_id", "-", -1).cast("long")
-    base = id_lists(spark, sf)
+    base = once("lists", lambda: id_lists(spark, sf))
     return base.withColumn("ids", F.when(i % 7 == 0, "S2-1,S2-1").when(i % 11 == 0, F.concat(F.lit("S2-x"), i.cast("string"))).otherwise(F.col("ids")))
 
 

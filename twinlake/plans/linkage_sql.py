@@ -2,8 +2,21 @@
 
 from __future__ import annotations
 
-from twinlake.functions import text as X
-from twinlake.operators import blocking as B
+# Word lists, weights, limits, depth and budget, stated here again so that the SQL doesn't follow a change of the code.
+LEGAL_SUFFIXES = ["inc", "incorporated", "llc", "corp", "corporation", "ltd", "limited", "pvt", "private", "co", "company", "llp", "gmbh", "sarl", "sas", "sa", "plc", "spa", "bv"]
+STOPWORDS = ["and", "the", "of", "in", "for", "to", "at", "by", "from", "&", "a", "an", "limited", "private", "llc", "inc", "ltd", "pvt", "corp", "co", "company"]
+ADDRESS_WORDS = {
+    "rd": "road", "st": "street", "ave": "avenue", "dr": "drive", "blvd": "boulevard", "ln": "lane", "ct": "court", "hwy": "highway", "pk": "park",
+    "pkwy": "parkway", "apt": "apartment", "ste": "suite", "bldg": "building", "fl": "floor", "pl": "place", "cir": "circle", "sq": "square", "terr": "terrace",
+}
+ADDRESS_STOPWORDS = [
+    "road", "street", "avenue", "drive", "lane", "boulevard", "floor", "suite", "apartment", "unit", "ste", "apt", "bldg", "building", "fl", "pl", "circle",
+    "square", "near", "opp", "opposite", "behind", "beside", "at", "post", "po", "dist", "door", "no", "plot", "block", "phase", "sector", "stage",
+]
+WEIGHTS = {"exact": 15.0, "token": 3.0, "concat": 15.0, "prefix": 1.0, "acronym": 8.0, "tokpost": 7.0, "phone": 9.0}
+LIMITS = {"token": 40000, "prefix": 12000, "addr": 12000, "addr_tok": 10000, "acronym": 12000, "tokpost": 12000, "ngram": 1500}
+DEPTH, BUDGET = "/*depth*/1500", "/*budget*/60"
+# End of fixed values.
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _map = lambda pairs: "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in pairs.items()) + "}"
@@ -19,25 +32,22 @@ phones = lambda x: rf"list_filter(list_transform(regexp_extract_all({x}, '\+?\p{
 _local = "list_filter(list_transform({0}, lambda d: CASE WHEN length(d) = 12 AND starts_with(d, '91') THEN substr(d, 3) WHEN length(d) = 11 AND starts_with(d, '1') THEN substr(d, 2) END), lambda d: d IS NOT NULL)"
 all_phones = lambda x: f"list_distinct(list_concat({phones(x)}, {_local.format(phones(x))}))"
 
-#: Limits small enough to prune something in the test tables.
-LIMITS = {"token": 50, "prefix": 50, "addr": 50, "addr_tok": 50, "acronym": 50, "tokpost": 50, "ngram": 20}
-
 RECORDS = rf"""
 er AS (
   SELECT doc_id, 'S' || (doc_id % 3 + 1) || '-' || doc_id AS id, doc_id % 3 AS k, lang AS country,
-         replace(substr(coalesce(text, ''), 1, 40), chr(10), ' ') AS name, replace(substr(coalesce(text, ''), 41, 80), chr(10), ' ') AS addr
+         replace(substr(coalesce(text, ''), 1, 40), chr(10), ' ') AS name, replace(substr(coalesce(text, ''), 41), chr(10), ' ') AS addr
   FROM documents),
 n0 AS (
   SELECT *, {_squeeze(r"regexp_replace(regexp_replace(regexp_replace(lower(strip_accents(name)), '^[@*#\s]+', ''), '^www\.', ''), '\.(com|in|org|net|co|io|fr|us)\b', '', 'g')")} AS norm_name,
-         array_to_string(list_transform(list_filter(string_split({_squeeze("lower(strip_accents(addr))")}, ' '), lambda t: t <> ''), lambda t: coalesce({_map(X.ADDRESS_WORDS)}[t], t)), ' ') AS norm_addr
+         array_to_string(list_transform(list_filter(string_split({_squeeze("lower(strip_accents(addr))")}, ' '), lambda t: t <> ''), lambda t: coalesce({_map(ADDRESS_WORDS)}[t], t)), ' ') AS norm_addr
   FROM er),
 n1 AS (
   SELECT *, list_filter(string_split(norm_name, ' '), lambda t: t <> '') AS words, list_filter(string_split(norm_addr, ' '), lambda t: t <> '') AS awords,
-         list_filter(string_split(norm_name, ' '), lambda t: length(t) >= 2 AND NOT list_contains({_list([*X.LEGAL_SUFFIXES, *X.STOPWORDS])}, t)) AS core,
+         list_filter(string_split(norm_name, ' '), lambda t: length(t) >= 2 AND NOT list_contains({_list([*LEGAL_SUFFIXES, *STOPWORDS])}, t)) AS core,
          regexp_extract_all(CASE WHEN addr <> '' THEN addr ELSE norm_addr END, '\p{{Nd}}+') AS runs, regexp_extract_all(addr, '\p{{Nd}}+') AS own_runs
   FROM n0),
 n2 AS (
-  SELECT *, list_filter(awords, lambda t: length(t) >= 4 AND NOT list_contains({_list(X.ADDRESS_STOPWORDS)}, t)) AS places,
+  SELECT *, list_filter(awords, lambda t: length(t) >= 4 AND NOT list_contains({_list(ADDRESS_STOPWORDS)}, t)) AS places,
          {_sized("runs", 4, 6)} AS postals, ({_sized("runs", 1, 5)})[1:3] AS streets,
          list_distinct(list_transform(({_sized(whole_numbers("CASE WHEN addr <> '' THEN addr ELSE norm_addr END"), 4, 6)})[1:3], lambda x: substr(x, 1, 2))) AS post2
   FROM n1),
@@ -79,21 +89,21 @@ TARGET_KEYS = {
     "phone": all_phones("addr"),
 }
 POSTINGS = "post AS (" + " UNION ALL ".join(f"SELECT country, '{c}' AS channel, unnest({keys}) AS key, id AS target_id FROM t" for c, keys in TARGET_KEYS.items()) + ")"
-_limit = "CASE channel " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in LIMITS.items()) + " END"
+_limit = lambda limits: "CASE channel " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in limits.items()) + " END"
 STATS = f"""
 total AS (SELECT country, greatest(count(*), 1) AS total FROM t GROUP BY country),
 counts AS (SELECT country, channel, key, count(*) AS n FROM post GROUP BY ALL),
 stats AS (
   SELECT c.* EXCLUDE (r), CASE channel WHEN 'addr' THEN least(8, greatest(1.5, r)) WHEN 'ngram' THEN r + 1 WHEN 'addr_tok' THEN least(8, r) END AS idf
   FROM (SELECT counts.*, ln(CAST(total + 1 AS DOUBLE) / (n + 1)) AS r FROM counts JOIN total USING (country)) c
-  WHERE coalesce(n <= {_limit}, true))"""
+  WHERE coalesce(n <= {_limit(LIMITS)}, true))"""
 _rules = {
     "exact": ("exact", _variants), "addr": ("addr", WIDER), "token": ("token", "list_distinct(core)"), "concat": ("token", CONCATS), "prefix": ("prefix", TARGET_KEYS["prefix"]),
     "acronym": ("acronym", "acr"), "tokpost": ("tokpost", "tokpost"), "addr_tok": ("addr_tok", "list_distinct(awords)"), "phone": ("phone", TARGET_KEYS["phone"]),
 }
 _asked = " UNION ALL ".join(f"SELECT country, id AS s1_id, '{r}' AS rule, '{c}' AS channel, unnest({k}) AS key, 0 AS pos FROM s" for r, (c, k) in _rules.items())
 _asked += f" UNION ALL SELECT country, id, 'ngram', 'ngram', unnest(CASE WHEN length(norm_name) >= 3 THEN {_grams('norm_name', 3)} ELSE [] END), unnest(range(0, greatest(length(norm_name) - 2, 0))) FROM s"
-_weights = "CASE rule WHEN 'addr' THEN idf WHEN 'addr_tok' THEN 2 * idf WHEN 'ngram' THEN idf " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in B.WEIGHTS.items()) + " END"
+_weights = "CASE rule WHEN 'addr' THEN idf WHEN 'addr_tok' THEN 2 * idf WHEN 'ngram' THEN idf " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in WEIGHTS.items()) + " END"
 HITS = f"""
 asked AS ({_asked}),
 keyed AS (
@@ -102,23 +112,22 @@ keyed AS (
 hit AS (
   SELECT k.s1_id, p.target_id, k.rule, k.channel, k.key, k.w FROM keyed k JOIN post p USING (country, channel, key)
   WHERE CASE rule WHEN 'addr_tok' THEN r <= 6 WHEN 'ngram' THEN r <= 8 ELSE true END)"""
-_names = ", ".join(f"'{r}'" for r in B.NAME_FAMILY)
 SCORES = f"""
 agg AS (
   SELECT s1_id, target_id, sum(w) AS raw, list_sort(list_distinct(list(CASE WHEN rule = 'concat' THEN 'token' ELSE rule END))) AS ch, count(*) FILTER (rule = 'token') AS token_hits,
-         bool_or(rule IN ({_names})) AND bool_or(rule IN ('addr', 'tokpost')) AS cross_field
+         bool_or(rule IN ('exact', 'token', 'concat', 'prefix', 'acronym', 'tokpost')) AND bool_or(rule IN ('addr', 'tokpost')) AS cross_field
   FROM hit GROUP BY s1_id, target_id),
 sc AS (
   SELECT s1_id, target_id, raw + CASE WHEN token_hits >= 2 THEN 25 ELSE 0 END + CASE WHEN cross_field THEN 20 ELSE 0 END AS weight,
          CASE WHEN cross_field THEN list_sort(list_distinct(list_concat(ch, ['addr']))) ELSE ch END AS channels, token_hits, cross_field
   FROM agg),
 rk AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(weight, 6) DESC, target_id) - 1 AS rank, count(*) OVER (PARTITION BY s1_id) AS n FROM sc)"""
-#: Candidates of the later queries: the 20 best, with name similarity as a stand-in for a probability.
+#: Candidates of the later queries: the best within the budget, with name similarity as a stand-in for a probability.
 SCORED = f"""
 cand AS (
   SELECT rk.*, round({jaccard("x3", "y3")}, 6) AS p
   FROM rk JOIN (SELECT id AS s1_id, {gram_set("norm_name", 3)} AS x3 FROM s) USING (s1_id) JOIN (SELECT id AS target_id, {gram_set("norm_name", 3)} AS y3 FROM t) USING (target_id)
-  WHERE rank < 20),
+  WHERE rank < {BUDGET}),
 truth AS (
   SELECT DISTINCT 'S1-' || a.doc_id AS s1_id, 'S' || (b.doc_id % 3 + 1) || '-' || b.doc_id AS target_id
   FROM documents a JOIN documents b ON a.lang = b.lang AND a.text = b.text WHERE a.doc_id % 3 = 0 AND b.doc_id % 3 <> 0),
@@ -145,3 +154,8 @@ SUMMARY = f"""round(avg({F05}), 6) AS macro_f05, round(CAST(sum(tp) AS DOUBLE) /
 
 def sql(final: str, *parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + final
+
+
+def resized(text: str, limits: dict[str, int], depth: int, budget: int) -> str:
+    """The same SQL with other limits, depth and budget, for fixtures small enough to prune something."""
+    return text.replace(_limit(LIMITS), _limit(limits)).replace(DEPTH, str(depth)).replace(BUDGET, str(budget))

@@ -48,9 +48,15 @@ def pool_sample(targets: DataFrame, needed: DataFrame, n: int) -> DataFrame:
     return head.unionByName(targets.join(needed.select(F.col("target_id").alias("id")).distinct(), "id", "left_semi")).dropDuplicates(["id"])
 
 
+def _spread(df: DataFrame) -> DataFrame:
+    """A table of fewer files than there are cores, dealt to all cores; one of many files is read where it lies."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def records_of_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as records: three sources by id, language as country, the text's start as name and all the rest as address."""
-    d = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    d = _spread(spark.read.parquet(f"{sf_dir}/documents.parquet"))
     line = lambda c: F.replace(c, F.lit("\n"), F.lit(" "))
     return d.select(
         F.concat(F.lit("S"), (F.col("doc_id") % 3 + 1).cast("string"), F.lit("-"), F.col("doc_id").cast("string")).alias("id"),
