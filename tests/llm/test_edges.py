@@ -231,6 +231,24 @@ def test_embedding_recall_over_many_leaves(spark):
         assert np.mean([out[i].component_id == component[i] for i in range(len(x))]) > 0.98
 
 
+def test_embedding_floats_as_given(spark):
+    """Vectors of floats travel as floats and are compared in double precision, in leaves that are split on again."""
+    r = np.random.default_rng(8)
+    x = r.standard_normal((1200, 24))
+    x[600:900] = x[:300] + r.standard_normal((300, 24)) * 0.15
+    x[900:1150] = x[5] + r.standard_normal((250, 24)) * 0.1
+    x = x.astype(np.float32)
+    u = x.astype(np.float64) / np.linalg.norm(x.astype(np.float64), axis=1, keepdims=True)
+    a, b = np.nonzero(np.triu(u @ u.T >= 0.95, 1))
+    degree = np.bincount(np.concatenate([a, b]), minlength=len(x))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>")
+    for options in ({}, {"group": 100, "leaf": 50, "sample_rows": 64}):
+        found = np.zeros(len(x), np.int64)
+        for o in embedding_dedup.near_duplicates(df, **options).collect():
+            found[o.vec_id] = o.n_links
+        assert (found <= degree).all() and found.sum() >= 0.98 * degree.sum() and degree.sum() > 10_000
+
+
 def test_blocks_of_shared_passages(spark):
     """Documents made of a few passages that many share: large blocks of which few pairs are similar."""
     r = random.Random(4)

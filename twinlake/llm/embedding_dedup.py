@@ -2,8 +2,8 @@
 
 The upper levels of every tree are fitted on a bounded sample: one random direction a level and
 a median per node. A vector near a median goes to both sides. That deals all rows to (tree,
-leaf) groups. A leaf with more than GROUP rows is split on, LEVELS levels at a time, at medians of a
-bounded sample of its own, until leaves fit or no longer thin out. In its task a leaf is split on
+leaf) groups. A leaf with more than GROUP rows is split on, by as many levels as its size asks for, at
+medians of a bounded sample of its own, until leaves fit or no longer thin out. In its task a leaf is split on
 by further random directions down to small nodes.
 
 Tight groups are never expanded into all their pairs. First every vector looks for a centre:
@@ -29,8 +29,10 @@ from twinlake.llm._stage import discard, stage
 from twinlake.llm.components import components
 
 SEED = 20_240_607
-#: Levels that one more round of dealing adds to an oversized leaf, and the rows it sees of it, about.
+#: Most levels that one more round of dealing adds to an oversized leaf, and the rows it sees of it, about.
 LEVELS, SEEN = 5, 1024
+#: The part of GROUP that the upper levels' leaves are to fill, so that few have to be split on.
+FILL = 0.75
 DEALT = "tree int, dim int, round int, leaf long, id long, centre long, x binary"
 LEAF = ["tree", "dim", "round", "leaf"]
 
@@ -152,8 +154,13 @@ def close_pairs(x: np.ndarray, centre: np.ndarray, least: float, leaf: int, spil
     return pairs[:, 0], pairs[:, 1]
 
 
-def _matrix(column: pa.ChunkedArray | pa.Array, rows: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.float64).reshape(rows, -1)
+def _matrix(column: pa.ChunkedArray | pa.Array, dim: int) -> np.ndarray:
+    """Unit vectors in double precision of shipped ones: doubles are unit vectors already, floats are as they were given."""
+    rows, data = len(column), b"".join(column.to_pylist())
+    if len(data) == 8 * rows * dim:
+        return np.frombuffer(data, np.float64).reshape(rows, dim)
+    x = np.frombuffer(data, np.float32).reshape(rows, dim).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _rng(*key) -> np.random.Generator:
@@ -165,16 +172,36 @@ class Forest:
 
     def __init__(self, classes: DataFrame, trees: int, spill: float, group: int, sample_rows: int) -> None:
         self.trees, self.spill, self.group = trees, spill, group
+        self.floats = classes.schema["v"].dataType.elementType.typeName() == "float"
+        self.held: list[DataFrame] = []
         n = classes.count()
         sample = [r.v for r in classes.orderBy(F.xxhash64("id"), "id").limit(sample_rows).select("v").collect()]  # sample_rows, a bound
-        depth = max(0, math.ceil(math.log2(max(1, n / group)))) if sample else 0
-        self.depth = min(depth, max(0, int(math.log2(max(1, len(sample) / 16)))))
-        unit = lambda d: np.array([np.array(v) / np.linalg.norm(v) for v in sample if len(v) == d])
-        self.fits = {d: [fit_tree(unit(d), directions(t, self.depth, d)[: self.depth], spill) for t in range(trees)] for d in {len(v) for v in sample}}
+        unit = {d: np.array([np.array(v) / np.linalg.norm(v) for v in sample if len(v) == d]) for d in {len(v) for v in sample}}
+        self.depth, most = 0, max(0, int(math.log2(max(1, len(sample) / 16))))
+        while n > group and self.depth < most and self._rows(unit, n) > FILL * group:
+            self.depth += 1
+        self.fits = {d: [fit_tree(x, directions(t, self.depth, d)[: self.depth], spill) for t in range(trees)] for d, x in unit.items()}
+
+    def _rows(self, unit: dict[int, np.ndarray], n: int) -> float:
+        """Rows of a leaf at this depth, by the sample, those that go both ways counted twice."""
+        dealt = 0
+        for d, x in unit.items():
+            axes = directions(0, self.depth, d)[: self.depth]
+            dealt += len(leaves(x, fit_tree(x, axes, self.spill), axes, self.spill)[0])
+        return n * dealt / sum(map(len, unit.values())) / 2**self.depth
+
+    def release(self) -> None:
+        """Delete the tables behind what :meth:`deal` gave."""
+        discard(*self.held)
+        self.held.clear()
+
+    def _stage(self, df: DataFrame, name: str) -> DataFrame:
+        self.held.append(stage(df, name))
+        return self.held[-1]
 
     def _first(self, classes: DataFrame, trees: int) -> DataFrame:
         """(id, v, centre) -> DEALT by the upper levels."""
-        fits, depth, spill = self.fits, self.depth, self.spill
+        fits, depth, spill, floats = self.fits, self.depth, self.spill, self.floats
 
         def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
@@ -183,9 +210,10 @@ class Forest:
                 for d in np.unique(dim[ok]):
                     own = np.flatnonzero(ok & (dim == d))
                     x = np.array([unit[i] for i in own])
+                    given = b.column("v").take(pa.array(own)).flatten().to_numpy(zero_copy_only=False).reshape(len(own), -1) if floats else x
                     for t in range(trees):
                         row, node = leaves(x, fits[int(d)][t] if int(d) in fits else [], directions(t, max(1, depth), int(d)), spill)
-                        yield _dealt(t, int(d), 0, node, ids[own][row], centre[own][row], x[row])
+                        yield _dealt(t, int(d), 0, node, ids[own][row], centre[own][row], given[row])
 
         return classes.select("id", "v", "centre").mapInArrow(deal, DEALT)
 
@@ -194,28 +222,30 @@ class Forest:
         now, fit, tight, n_round = self._first(classes, trees), None, None, 0
         both = lambda a, b: b if a is None else a.unionByName(b)
         sizes = now.groupBy(*LEAF).agg(F.count("*").alias("n"))
-        large = stage(sizes.where(F.col("n") > self.group).withColumn("stuck", F.lit(False)), "leaves")
+        large = self._stage(sizes.where(F.col("n") > self.group).withColumn("stuck", F.lit(False)), "leaves")
         while large.take(1):
             rows = now.join(large, LEAF)
             fit = both(fit, now.join(large, LEAF, "left_anti"))
             tight = both(tight, rows.where("stuck").drop("n", "stuck"))
             more = stage(rows.where("not stuck"), "oversized")
-            now = stage(self._split(more, n_round + 1), "leaves")
+            now = self._stage(self._split(more, n_round + 1), "leaves")
             n_round += 1
             # A child with most of its parent's rows is a cluster that cuts don't thin out.
             parents = more.groupBy(*LEAF).agg(F.first("n").alias("whole")).select("tree", "dim", (F.col("leaf") * (1 << LEVELS)).alias("low"), "whole")
             sizes = now.groupBy(*LEAF).agg(F.count("*").alias("n")).where(F.col("n") > self.group)
             same = [sizes["tree"] == parents["tree"], sizes["dim"] == parents["dim"], sizes["leaf"] - F.pmod(sizes["leaf"], F.lit(1 << LEVELS)) == parents["low"]]
-            large = stage(sizes.join(parents, same).select(*[sizes[c] for c in LEAF], "n", (F.col("n") > 0.8 * F.col("whole")).alias("stuck")), "leaves")
+            large = self._stage(sizes.join(parents, same).select(*[sizes[c] for c in LEAF], "n", (F.col("n") > 0.8 * F.col("whole")).alias("stuck")), "leaves")
+            discard(more)
         return both(fit, now), tight
 
     def _split(self, rows: DataFrame, n_round: int) -> DataFrame:
-        """Rows of oversized leaves (with n) -> DEALT, LEVELS levels further down."""
-        spill = self.spill
+        """Rows of oversized leaves (with n) -> DEALT, as many levels further down as their rows ask for, LEVELS at most."""
+        spill, group = self.spill, FILL * self.group
 
         def fit(key: tuple, table: pa.Table) -> pa.Table:
             t, d, _, leaf = (k.as_py() for k in key)
-            cuts = fit_tree(_matrix(table.column("x"), table.num_rows), directions(t, LEVELS, d, n_round), spill)
+            levels = min(LEVELS, max(1, math.ceil(math.log2(table.column("n")[0].as_py() / group))))
+            cuts = fit_tree(_matrix(table.column("x"), d), directions(t, LEVELS, d, n_round)[:levels], spill)
             return pa.table({**{c: pa.array([k.as_py()], pa.int64() if c == "leaf" else pa.int32()) for c, k in zip(LEAF, key, strict=True)}, "cuts": pa.array([np.concatenate(cuts).tolist()], pa.list_(pa.float64()))})
 
         def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,19 +254,20 @@ class Forest:
                 for t, d, k in sorted(set(zip(tree.tolist(), dim.tolist(), leaf.tolist(), strict=True))):
                     own = np.flatnonzero((tree == t) & (dim == d) & (leaf == k))
                     cuts = np.array(b.column("cuts")[int(own[0])].as_py())
-                    x = _matrix(b.column("x").take(pa.array(own)), len(own))
-                    row, node = leaves(x, [cuts[(1 << i) - 1 : (2 << i) - 1] for i in range(LEVELS)], directions(t, LEVELS, d, n_round), spill)
-                    yield _dealt(t, d, n_round, k * (1 << LEVELS) + node, ids[own][row], centre[own][row], x[row])
+                    given = b.column("x").take(pa.array(own))
+                    row, node = leaves(_matrix(given, d), [cuts[(1 << i) - 1 : (2 << i) - 1] for i in range(len(cuts).bit_length())], directions(t, LEVELS, d, n_round), spill)
+                    yield _dealt(t, d, n_round, k * (1 << LEVELS) + node, ids[own][row], centre[own][row], given.take(pa.array(row)))
 
-        few = rows.where(F.pmod(F.xxhash64("id", F.lit(n_round)), F.col("n")) < SEEN).select(*LEAF, "x")
+        few = rows.where(F.pmod(F.xxhash64("id", F.lit(n_round)), F.col("n")) < SEEN).select(*LEAF, "n", "x")
         cuts = few.groupBy(*LEAF).applyInArrow(fit, "tree int, dim int, round int, leaf long, cuts array<double>")
         return rows.join(cuts, LEAF).select(*LEAF, "id", "centre", "x", "cuts").mapInArrow(split, DEALT)
 
 
-def _dealt(tree: int, dim: int, n_round: int, leaf: np.ndarray, ids: np.ndarray, centre: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+def _dealt(tree: int, dim: int, n_round: int, leaf: np.ndarray, ids: np.ndarray, centre: np.ndarray, x: np.ndarray | pa.Array) -> pa.RecordBatch:
     n = len(leaf)
+    x = x if isinstance(x, pa.Array) else pa.array([v.tobytes() for v in x], pa.binary())
     return pa.RecordBatch.from_arrays([
-        pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, n_round, np.int32)), pa.array(leaf), pa.array(ids), pa.array(centre), pa.array([v.tobytes() for v in x], pa.binary()),
+        pa.array(np.full(n, tree, np.int32)), pa.array(np.full(n, dim, np.int32)), pa.array(np.full(n, n_round, np.int32)), pa.array(leaf), pa.array(ids), pa.array(centre), x,
     ], names=DEALT.replace(",", "").split()[::2])
 
 
@@ -245,7 +276,7 @@ def _find_centres(fit: DataFrame, tight: DataFrame | None, near: float, leaf: in
 
     def seek(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
-        best = ids[centres(_matrix(table.column("x"), len(ids)), ids, near, leaf, spill, _rng(*(k.as_py() for k in key)))]
+        best = ids[centres(_matrix(table.column("x"), key[1].as_py()), ids, near, leaf, spill, _rng(*(k.as_py() for k in key)))]
         other = best != ids
         return pa.table({"id": pa.array(ids[other]), "to": pa.array(best[other])})
 
@@ -261,7 +292,7 @@ def _find_centres(fit: DataFrame, tight: DataFrame | None, near: float, leaf: in
                 close = np.zeros(len(own), bool)
                 for k in np.unique(d):
                     i = np.flatnonzero(d == k)
-                    close[i] = np.einsum("ij,ij->i", *(_matrix(b.column(c).take(pa.array(i)), len(i)) for c in ("x", "y"))) >= near
+                    close[i] = np.einsum("ij,ij->i", *(_matrix(b.column(c).take(pa.array(i)), int(k)) for c in ("x", "y"))) >= near
                 i = np.flatnonzero(close & (own != to))
                 yield pa.RecordBatch.from_arrays([pa.array(own[i]), pa.array(to[i])], names=["id", "to"])
 
@@ -276,7 +307,7 @@ def _find_links(fit: DataFrame, tight: DataFrame | None, least: float, leaf: int
     def compare(key: tuple, table: pa.Table) -> pa.Table:
         ids = table.column("id").to_numpy()
         order = np.argsort(ids, kind="stable")
-        a, b = close_pairs(_matrix(table.column("x"), len(ids))[order], table.column("centre").to_numpy()[order], least, leaf, spill, _rng(*(k.as_py() for k in key)))
+        a, b = close_pairs(_matrix(table.column("x"), key[1].as_py())[order], table.column("centre").to_numpy()[order], least, leaf, spill, _rng(*(k.as_py() for k in key)))
         return pa.table({"a": pa.array(ids[order[a]]), "b": pa.array(ids[order[b]])})
 
     found = fit.groupBy(*LEAF).applyInArrow(compare, "a long, b long")
@@ -292,7 +323,7 @@ def _find_links(fit: DataFrame, tight: DataFrame | None, least: float, leaf: int
 
         def against(key: tuple, table: pa.Table) -> pa.Table:
             ids, centre, rest = (table.column(c).to_numpy() for c in ("id", "centre", "rest"))
-            v = _matrix(table.column("x"), len(ids))
+            v = _matrix(table.column("x"), key[1].as_py())
             mine, all_ = np.flatnonzero(rest), np.flatnonzero(~rest)
             out = [np.empty((0, 2), np.int64)]
             for i in range(0, len(mine), 512):
@@ -330,7 +361,8 @@ def near_duplicates(
     ``sample_rows`` bounds the sample that the trees' upper levels see; every row is indexed.
     Found links are true ones; measured recall is in the tests and the README.
     """
-    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<double>").alias("v"))
+    floats = vectors.schema[vector_col].dataType.simpleString() == "array<float>"
+    rows = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[vector_col].cast("array<float>" if floats else "array<double>").alias("v"))
     good = F.col("vec_id").isNotNull() & F.col("v").isNotNull() & ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = stage(rows.withColumn("good", F.coalesce(good, F.lit(False))).withColumn("key", F.when(F.col("good"), F.sha2(F.array_join("v", ",").cast("binary"), 256))), "vectors")
     usable = rows.where("good")
@@ -340,9 +372,11 @@ def near_duplicates(
     # Half the link angle, and a little less: two vectors this close to a third are linked.
     near = math.sqrt((1 + least) / 2) + 1e-9
     to = stage(_find_centres(*forest.deal(classes.withColumn("centre", F.col("id")), max(1, trees // 3)), near, leaf, spill), "centres")
+    forest.release()
     about = stage(classes.join(to, "id", "left").select("key", "id", "size", "v", F.coalesce("to", "id").alias("centre")), "classes")
     links = stage(_find_links(*forest.deal(about, trees), least, leaf, spill, group // 2), "links")
-    discard(classes)
+    forest.release()
+    discard(classes, to)
 
     both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
     degree = both.join(about.select(F.col("id").alias("b"), "size"), "b").groupBy("a").agg(F.sum("size").alias("others")).withColumnRenamed("a", "id")
