@@ -86,7 +86,7 @@ def test_a_word_shared_by_many_is_kept(spark, tmp_path):
     assert linkage.QUERIES["topk_by_score"](spark, sf).count() == 100 * 60
 
 
-@pytest.mark.parametrize("name", ["prune_frequent", "idf_ngram", "score_sum", "topk_by_score", "rerank_trigram", "feat_arrays", "resolve_ownership"])
+@pytest.mark.parametrize("name", ["prune_frequent", "idf_ngram", "score_sum", "topk_by_score", "rerank_trigram", "rerank_adaptive", "family_quota", "feat_arrays", "resolve_ownership"])
 def test_small_limits_agree_with_the_sql(spark, tmp_path, monkeypatch, name):
     """With limits, depth and budget small enough to prune something, in the query and in the SQL."""
     duckdb = pytest.importorskip("duckdb")

@@ -223,9 +223,21 @@ re AS (
 query("rerank_trigram", S.sql("SELECT s1_id, target_id, weight, rank FROM (SELECT s1_id, target_id, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY round(weight, 6) DESC, target_id) - 1 AS INTEGER) AS rank FROM re) WHERE rank < " + S.BUDGET, *_ALL, _RERANK))(
     lambda spark, sf: B.rerank(scored(spark, sf), *sides(spark, sf), PROFILE.budget, PROFILE).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank")
 )
-query("family_quota")(lambda spark, sf: B.family_quota(scored(spark, sf), PROFILE.budget).select("s1_id", "target_id", F.array_join("channels", ",").alias("channels"), "rank"))
+query("rerank_adaptive", S.sql("SELECT s1_id, target_id, weight, rank FROM (SELECT s1_id, target_id, budget, round(weight, 6) AS weight, CAST(row_number() OVER (PARTITION BY s1_id ORDER BY round(weight, 6) DESC, target_id) - 1 AS INTEGER) AS rank FROM rb) WHERE rank < budget", *_ALL, _TIER, f"""
+lim AS (SELECT s1_id, CASE tier WHEN 'easy' THEN 60 WHEN 'medium' THEN 150 ELSE 250 END AS budget FROM bud),
+rb AS (
+  SELECT rk.s1_id, rk.target_id, lim.budget, CASE WHEN rk.n > lim.budget THEN rk.weight + 8 * {S.jaccard("x3", "y3")} ELSE rk.weight END AS weight
+  FROM rk JOIN lim USING (s1_id) JOIN (SELECT id AS s1_id, {S.gram_set("norm_name", 3)} AS x3 FROM s) USING (s1_id) JOIN (SELECT id AS target_id, {S.gram_set("norm_name", 3)} AS y3 FROM t) USING (target_id)
+  WHERE (rank < {S.DEPTH} OR token_hits >= 2 OR cross_field) AND (rk.n > lim.budget OR rank < lim.budget))"""))(
+    lambda spark, sf: B.rerank(scored(spark, sf), *sides(spark, sf), B.budgets(sides(spark, sf)[0], scored(spark, sf), posted(spark, sf)), PROFILE).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank")
+)
+_QUOTA = f"""
+named AS (SELECT *, len(list_intersect(channels, ['exact', 'token', 'prefix', 'acronym', 'tokpost'])) > 0 AS named FROM sc),
+first AS (SELECT *, named AND row_number() OVER (PARTITION BY s1_id, named ORDER BY round(weight, 6) DESC, target_id) <= {S.BUDGET} - {S.BUDGET} // 2 AS reserved FROM named),
+quota AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY reserved DESC, round(weight, 6) DESC, target_id) - 1 AS rank FROM first)"""
+query("family_quota", S.sql(f"SELECT s1_id, target_id, array_to_string(channels, ',') AS channels, CAST(rank AS INTEGER) AS rank FROM quota WHERE rank < {S.BUDGET}", *_ALL, _QUOTA))(lambda spark, sf: B.family_quota(scored(spark, sf), PROFILE.budget).select("s1_id", "target_id", F.array_join("channels", ",").alias("channels"), "rank"))
 for _name, _profile in (("baseline_profile", B.BASELINE), ("mem_profile", B.MEM), ("prod_profile", B.PROD), ("multi_pass_profile", B.MULTI_PASS)):
-    query(_name)(lambda spark, sf, p=_profile: B.top_k(B.retrieve(*sides(spark, sf), p), p.budget).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank"))
+    query(_name, S.PROFILES[_name])(lambda spark, sf, p=_profile: B.top_k(B.retrieve(*sides(spark, sf), p), p.budget).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank"))
 
 
 def probable(spark: SparkSession, sf: str) -> DataFrame:
@@ -397,7 +409,18 @@ query("error_taxonomy", S.sql("""SELECT kind, reason, count(*) AS n FROM (
 query("fp_breakdown", S.sql("""SELECT count(*) FILTER (NOT known) AS on_singletons, count(*) FILTER (known) AS on_matched FROM (SELECT EXISTS (SELECT 1 FROM truth x WHERE x.s1_id = l.s1_id) AS known FROM linked l ANTI JOIN truth USING (s1_id, target_id) WHERE accepted)""", *_P))(
     lambda spark, sf: ME.fp_breakdown(T.truth_of_documents(spark, sf), links(spark, sf).where("accepted").select("s1_id", "target_id"))
 )
-query("miss_taxonomy")(lambda spark, sf: ME.miss_taxonomy(T.truth_of_documents(spark, sf), *sides(spark, sf), ranked(spark, sf, 1), 1))
+_indic = lambda c: rf"regexp_matches({c}, '[\x{{0900}}-\x{{0D7F}}]')"
+_url = lambda c: rf"regexp_matches({c}, '(?i)(@|\.com|\.in|\.org|\.net|www\.)')"
+_CAUSES = f"""
+top AS (SELECT * FROM rk WHERE rank < 1),
+busy AS (SELECT country, w FROM (SELECT country, unnest(list_distinct(core)) AS w FROM t) GROUP BY ALL HAVING count(*) > 3000),
+worn AS (SELECT DISTINCT s1_id FROM (SELECT id AS s1_id, country, unnest(core) AS w FROM s) SEMI JOIN busy USING (country, w)),
+cause AS (
+  SELECT CASE WHEN y.id IS NULL THEN 'target_not_in_pool' WHEN EXISTS (SELECT 1 FROM top WHERE top.s1_id = m.s1_id) THEN 'candidate_cap_truncation' WHEN y.addr = '' THEN 'missing_address_in_target'
+    WHEN {_indic("x.name")} <> {_indic("y.name")} THEN 'indic_script_mismatch' WHEN {_url("x.name")} <> {_url("y.name")} THEN 'url_domain_handle_mismatch' WHEN m.s1_id IN (SELECT s1_id FROM worn) THEN 'high_frequency_token_pruned'
+    WHEN len(x.own_runs) > 0 AND len(y.own_runs) > 0 AND len(list_intersect(x.own_runs, y.own_runs)) = 0 THEN 'numeric_address_mismatch' WHEN len(list_intersect(x.core, y.core)) = 0 THEN 'name_token_mismatch' ELSE 'compound_address_failure' END AS cause
+  FROM (SELECT truth.* FROM truth ANTI JOIN top USING (s1_id, target_id)) m JOIN s x ON x.id = m.s1_id LEFT JOIN t y ON y.id = m.target_id)"""
+query("miss_taxonomy", S.sql("SELECT cause, count(*) AS n FROM cause GROUP BY cause", *_P, _CAUSES))(lambda spark, sf: ME.miss_taxonomy(T.truth_of_documents(spark, sf), *sides(spark, sf), ranked(spark, sf, 1), 1))
 query("learn_token_mapping", S.sql("""SELECT variant, canonical, n FROM (SELECT variant, canonical, n, sum(n) OVER v AS total, max(n) OVER v AS best, count(*) OVER (PARTITION BY variant, n) AS ties FROM (
   SELECT a AS variant, b AS canonical, count(*) AS n FROM (SELECT unnest(x.core) AS a, unnest(y.core) AS b FROM cand JOIN s x ON x.id = s1_id JOIN t y ON y.id = target_id WHERE len(x.core) = len(y.core))
   WHERE regexp_matches(a, '^[\\x00-\\x7F]{3,}$') AND regexp_matches(b, '^[\\x00-\\x7F]{3,}$') GROUP BY 1, 2) WINDOW v AS (PARTITION BY variant)) WHERE n = best AND ties = 1 AND n >= 2 AND CAST(n AS DOUBLE) / total >= 0.4 AND variant <> canonical""".replace("\\\\", "\\"), *_P))(
@@ -455,6 +478,10 @@ query("metaphone_primary")(lambda spark, sf: records(spark, sf).select(F.explode
 query("transliterate")(lambda spark, sf: records(spark, sf).select("id", phonetic.clean_transliteration(F.col("name")).alias("latin")))
 query("join_phon")(lambda spark, sf: B.top_k(B.retrieve(*sounded(spark, sf), B.Profile(channels=("phon",), limits=WITH_SOUNDS.limits, many_phonetic=20.0)), WITH_SOUNDS.budget).select("s1_id", "target_id", "weight", "phon_hits"))
 query("join_tr_name")(lambda spark, sf: B.retrieve(*sounded(spark, sf), B.Profile(channels=("exact", "token", "tr_name", "tr_tok"), limits=WITH_SOUNDS.limits)).select("s1_id", "target_id", "weight"))
+for _c in ("tr_name", "tr_tok", "phon"):
+    query(f"post_{_c}")(lambda spark, sf, c=_c: B.postings(sounded(spark, sf)[1], (c,)).select("country", "key", "target_id"))
+query("join_tr_tok")(lambda spark, sf: B.retrieve(*sounded(spark, sf), B.Profile(channels=("token", "tr_tok"), limits=WITH_SOUNDS.limits, many_tokens=0.0)).select("s1_id", "target_id", "weight"))
+query("bonus_multi_phon")(lambda spark, sf: B.retrieve(*sounded(spark, sf), B.Profile(channels=("phon",), limits=WITH_SOUNDS.limits, many_phonetic=20.0)).where("phon_hits >= 2").select("s1_id", "target_id", "weight", "phon_hits"))
 query("all_channels")(lambda spark, sf: B.rerank(B.retrieve(*sounded(spark, sf), WITH_SOUNDS), *sides(spark, sf), WITH_SOUNDS.budget, WITH_SOUNDS).select("s1_id", "target_id", F.round("weight", 6).alias("weight"), "rank"))
 
 

@@ -16,6 +16,9 @@ ADDRESS_STOPWORDS = [
 WEIGHTS = {"exact": 15.0, "token": 3.0, "concat": 15.0, "prefix": 1.0, "acronym": 8.0, "tokpost": 7.0, "phone": 9.0}
 LIMITS = {"token": 40000, "prefix": 12000, "addr": 12000, "addr_tok": 10000, "acronym": 12000, "tokpost": 12000, "ngram": 1500}
 DEPTH, BUDGET = "/*depth*/1500", "/*budget*/60"
+MEMORY_LIMITS = {"token": 12000, "prefix": 12000, "addr": 12000, "addr_tok": 3000, "acronym": 12000, "tokpost": 12000, "ngram": 1500}
+BASELINE_LIMITS = {"token": 3000, "prefix": 3000, "addr": 3000}
+MULTI_PASS_LIMITS = {"token": 4000, "prefix": 4000, "addr": 150}
 # End of fixed values.
 
 _list = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
@@ -90,38 +93,53 @@ TARGET_KEYS = {
 }
 POSTINGS = "post AS (" + " UNION ALL ".join(f"SELECT country, '{c}' AS channel, unnest({keys}) AS key, id AS target_id FROM t" for c, keys in TARGET_KEYS.items()) + ")"
 _limit = lambda limits: "CASE channel " + " ".join(f"WHEN '{c}' THEN {n}" for c, n in limits.items()) + " END"
-STATS = f"""
+_stats = lambda limits: f"""
 total AS (SELECT country, greatest(count(*), 1) AS total FROM t GROUP BY country),
 counts AS (SELECT country, channel, key, count(*) AS n FROM post GROUP BY ALL),
 stats AS (
   SELECT c.* EXCLUDE (r), CASE channel WHEN 'addr' THEN least(8, greatest(1.5, r)) WHEN 'ngram' THEN r + 1 WHEN 'addr_tok' THEN least(8, r) END AS idf
   FROM (SELECT counts.*, ln(CAST(total + 1 AS DOUBLE) / (n + 1)) AS r FROM counts JOIN total USING (country)) c
-  WHERE coalesce(n <= {_limit(LIMITS)}, true))"""
+  WHERE coalesce(n <= {_limit(limits)}, true))"""
+STATS = _stats(LIMITS)
 _rules = {
     "exact": ("exact", _variants), "addr": ("addr", WIDER), "token": ("token", "list_distinct(core)"), "concat": ("token", CONCATS), "prefix": ("prefix", TARGET_KEYS["prefix"]),
     "acronym": ("acronym", "acr"), "tokpost": ("tokpost", "tokpost"), "addr_tok": ("addr_tok", "list_distinct(awords)"), "phone": ("phone", TARGET_KEYS["phone"]),
 }
-_asked = " UNION ALL ".join(f"SELECT country, id AS s1_id, '{r}' AS rule, '{c}' AS channel, unnest({k}) AS key, 0 AS pos FROM s" for r, (c, k) in _rules.items())
-_asked += f" UNION ALL SELECT country, id, 'ngram', 'ngram', unnest(CASE WHEN length(norm_name) >= 3 THEN {_grams('norm_name', 3)} ELSE [] END), unnest(range(0, greatest(length(norm_name) - 2, 0))) FROM s"
-_weights = "CASE rule WHEN 'addr' THEN idf WHEN 'addr_tok' THEN 2 * idf WHEN 'ngram' THEN idf " + " ".join(f"WHEN '{r}' THEN {w}" for r, w in WEIGHTS.items()) + " END"
-HITS = f"""
-asked AS ({_asked}),
+_grams_asked = f"SELECT country, id AS s1_id, 'ngram' AS rule, 'ngram' AS channel, unnest(CASE WHEN length(norm_name) >= 3 THEN {_grams('norm_name', 3)} ELSE [] END) AS key, unnest(range(0, greatest(length(norm_name) - 2, 0))) AS pos FROM s"
+
+
+def _hits(rules: dict[str, tuple[str, str]], weights: dict[str, float], addr: str = "idf", grams: bool = True) -> str:
+    asked = " UNION ALL ".join([f"SELECT country, id AS s1_id, '{r}' AS rule, '{c}' AS channel, unnest({k}) AS key, 0 AS pos FROM s" for r, (c, k) in rules.items()] + [_grams_asked] * grams)
+    fixed = " ".join(f"WHEN '{r}' THEN {w}" for r, w in weights.items())
+    return f"""
+asked AS ({asked}),
 keyed AS (
-  SELECT *, {_weights} AS w, row_number() OVER (PARTITION BY s1_id, rule ORDER BY idf DESC, CASE WHEN rule = 'ngram' THEN pos ELSE 0 END, key, pos) AS r
+  SELECT *, CASE rule WHEN 'addr' THEN {addr} WHEN 'addr_tok' THEN 2 * idf WHEN 'ngram' THEN idf {fixed} END AS w,
+         row_number() OVER (PARTITION BY s1_id, rule ORDER BY idf DESC, CASE WHEN rule = 'ngram' THEN pos ELSE 0 END, key, pos) AS r
   FROM asked JOIN stats USING (country, channel, key)),
 hit AS (
   SELECT k.s1_id, p.target_id, k.rule, k.channel, k.key, k.w FROM keyed k JOIN post p USING (country, channel, key)
   WHERE CASE rule WHEN 'addr_tok' THEN r <= 6 WHEN 'ngram' THEN r <= 8 ELSE true END)"""
-SCORES = f"""
+
+
+def _scores(tokens: int = 25, cross: int = 20) -> str:
+    return f"""
 agg AS (
   SELECT s1_id, target_id, sum(w) AS raw, list_sort(list_distinct(list(CASE WHEN rule = 'concat' THEN 'token' ELSE rule END))) AS ch, count(*) FILTER (rule = 'token') AS token_hits,
-         bool_or(rule IN ('exact', 'token', 'concat', 'prefix', 'acronym', 'tokpost')) AND bool_or(rule IN ('addr', 'tokpost')) AS cross_field
+         {cross} > 0 AND bool_or(rule IN ('exact', 'token', 'concat', 'prefix', 'acronym', 'tokpost')) AND bool_or(rule IN ('addr', 'tokpost')) AS cross_field
   FROM hit GROUP BY s1_id, target_id),
 sc AS (
-  SELECT s1_id, target_id, raw + CASE WHEN token_hits >= 2 THEN 25 ELSE 0 END + CASE WHEN cross_field THEN 20 ELSE 0 END AS weight,
+  SELECT s1_id, target_id, raw + CASE WHEN token_hits >= 2 THEN {tokens} ELSE 0 END + CASE WHEN cross_field THEN {cross} ELSE 0 END AS weight,
          CASE WHEN cross_field THEN list_sort(list_distinct(list_concat(ch, ['addr']))) ELSE ch END AS channels, token_hits, cross_field
   FROM agg),
 rk AS (SELECT *, row_number() OVER (PARTITION BY s1_id ORDER BY round(weight, 6) DESC, target_id) - 1 AS rank, count(*) OVER (PARTITION BY s1_id) AS n FROM sc)"""
+
+
+HITS, SCORES = _hits(_rules, WEIGHTS), _scores()
+# The smaller profiles: no spelling without its suffix, the address keys as they are filed.
+_plain = _rules | {"exact": ("exact", _variants.replace(", trim(replace(replace(norm_name, ' limited', ''), ' ltd', ''))]", "]").replace(", trim(replace(replace(norm_name, ' ltd', ''), ' limited', ''))]", "]")), "addr": ("addr", "addr_keys")}
+_only = lambda *names: {r: _plain[r] for r in names}
+_best = "SELECT s1_id, target_id, round(weight, 6) AS weight, CAST(rank AS INTEGER) AS rank FROM rk WHERE rank < "
 #: Candidates of the later queries: the best within the budget, with name similarity as a stand-in for a probability.
 SCORED = f"""
 cand AS (
@@ -156,6 +174,14 @@ def sql(final: str, *parts: str) -> str:
     return "WITH " + ",\n".join(parts) + "\n" + final
 
 
+PROFILES = {
+    "prod_profile": sql(_best + BUDGET, RECORDS, POSTINGS, STATS, HITS, SCORES),
+    "mem_profile": sql(_best + BUDGET, RECORDS, POSTINGS, _stats(MEMORY_LIMITS), _hits(_plain, WEIGHTS), _scores(cross=0)),
+    "baseline_profile": sql(_best + "25", RECORDS, POSTINGS, _stats(BASELINE_LIMITS), _hits(_only("token", "prefix", "addr"), WEIGHTS, "4.0::DOUBLE", False), _scores(0, 0)),
+    "multi_pass_profile": sql(_best + "35", RECORDS, POSTINGS, _stats(MULTI_PASS_LIMITS), _hits(_only("exact", "token", "prefix", "addr"), WEIGHTS | {"exact": 10.0}, "6.0::DOUBLE", False), _scores(0, 0)),
+}
+
+
 def resized(text: str, limits: dict[str, int], depth: int, budget: int) -> str:
     """The same SQL with other limits, depth and budget, for fixtures small enough to prune something."""
     return text.replace(_limit(LIMITS), _limit(limits)).replace(DEPTH, str(depth)).replace(BUDGET, str(budget))
