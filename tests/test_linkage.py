@@ -117,7 +117,9 @@ def test_files(spark, tmp_path):
         T.write_index(posted, f"file://{tmp_path}/index")
     lists = T.id_lists(s1.select(F.col("id").alias("s1_id")), table(spark, [("S1-1", "S2-2", 1), ("S1-1", "S2-1", 0)], "s1_id string, target_id string, rank int"), order="rank").withColumn("seq", F.lit(0))
     T.write_id_lists(lists, f"file://{tmp_path}/out", "seq", "matched_entity_ids")
-    assert "S1-1\tS2-1,S2-2" in "".join(p.read_text() for p in (tmp_path / "out").glob("part*"))
+    assert (tmp_path / "out").read_text() == "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S2-2\n"
+    with pytest.raises(FileExistsError):
+        T.write_id_lists(lists, f"file://{tmp_path}/out", "seq", "matched_entity_ids")
 
 
 def test_streaming_index(spark, tmp_path):

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from twinlake.functions.text import has_indic_script
+from twinlake.functions.text import compact_alnum, has_indic_script, initials, phones, soundex_code
 
 _BLOCKS = [0x0900, 0x0980, 0x0A00, 0x0A80, 0x0B00, 0x0B80, 0x0C00, 0x0C80, 0x0D00]
 _CONSONANTS = dict(zip(range(0x15, 0x3A), "k kh g gh ~n ch chh j jh ~n t th d dh n t th d dh n n p ph b bh m y r r l l l v sh sh s h".split(), strict=True))
@@ -53,11 +53,26 @@ def metaphone(token: Column) -> Column:
 
 
 def with_sounds(prepared: "DataFrame") -> "DataFrame":  # noqa: F821
-    """Prepared records with tr_name, phon_query and phon_index (the target side also files confused v/b and m/n)."""
+    """Prepared records with tr_name, phon_query, phon_index (the target side also files confused v/b and m/n) and tr_phon, the codes of tr_name."""
     long = lambda c: F.filter(c, lambda t: F.char_length(t) >= 3)
     codes = lambda c: F.array_distinct(F.filter(F.transform(long(c), metaphone), lambda x: x != ""))
     tr = F.filter(F.split("tr_name", " "), lambda t: t != "")
     swapped = lambda a, b: F.transform(tr, lambda t: F.replace(t, F.lit(a), F.lit(b)))
     out = prepared.withColumn("tr_name", clean_transliteration(F.col("name")))
     query = F.filter(F.transform(long(F.array_distinct("core")), metaphone), lambda x: x != "")
-    return out.withColumns({"phon_query": query, "phon_index": F.array_distinct(F.concat(codes(F.col("core")), codes(tr), codes(swapped("v", "b")), codes(swapped("m", "n"))))})
+    return out.withColumns({"phon_query": query, "tr_phon": codes(tr), "phon_index": F.array_distinct(F.concat(codes(F.col("core")), codes(tr), codes(swapped("v", "b")), codes(swapped("m", "n"))))})
+
+
+def name_views(prepared: "DataFrame") -> "DataFrame":  # noqa: F821
+    """Every spelling of a record's name under which it may be found: (id, norm, translit, translit_tokens, compact, initials, phonetic, soundex)."""
+    p, core = with_sounds(prepared), F.col("core")
+    soundex = F.transform(F.filter(core, lambda t: F.char_length(t) >= 3), soundex_code)
+    return p.select(
+        "id", F.col("norm_name").alias("norm"), F.col("tr_name").alias("translit"), F.filter(F.split("tr_name", " "), lambda t: F.char_length(t) >= 2).alias("translit_tokens"),
+        compact_alnum(F.col("norm_name")).alias("compact"), initials(core).alias("initials"), F.filter(F.transform(core, metaphone), lambda x: x != "").alias("phonetic"), soundex.alias("soundex"),
+    )
+
+
+def address_views(prepared: "DataFrame") -> "DataFrame":  # noqa: F821
+    """The same of its address: (id, norm, translit, compact, phones)."""
+    return prepared.select("id", F.col("norm_addr").alias("norm"), clean_transliteration(F.col("addr")).alias("translit"), compact_alnum(F.col("norm_addr")).alias("compact"), phones(F.col("addr")).alias("phones"))

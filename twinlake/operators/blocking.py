@@ -14,12 +14,12 @@ from pyspark.sql import functions as F
 
 from twinlake.functions import text as X
 
-NAME_FAMILY = ("exact", "token", "concat", "prefix", "acronym", "tokpost", "tr_name", "tr_exact", "tr_tok", "tr_token", "schwa", "phon")
+NAME_FAMILY = ("exact", "token", "concat", "prefix", "acronym", "tokpost", "tr_name", "tr_exact", "tr_tok", "tr_token", "schwa", "schwa_token", "phon")
 ADDRESS_FAMILY = ("addr", "tokpost")
 #: Channel under which a rule's hits are reported; the rest report under their own name.
-REPORTED = {"concat": "token", "tr_exact": "tr_name", "tr_token": "tr_tok"}
+REPORTED = {"concat": "token", "tr_exact": "tr_name", "tr_token": "tr_tok", "schwa": "tr_tok", "schwa_token": "token"}
 # Weights, limits and budgets of the retrieval rules.
-WEIGHTS = {"exact": 15.0, "token": 3.0, "concat": 15.0, "prefix": 1.0, "acronym": 8.0, "tokpost": 7.0, "tr_name": 12.0, "tr_exact": 12.0, "tr_tok": 4.0, "tr_token": 3.0, "schwa": 3.0, "phon": 2.0, "phone": 9.0}
+WEIGHTS = {"exact": 15.0, "token": 3.0, "concat": 15.0, "prefix": 1.0, "acronym": 8.0, "tokpost": 7.0, "tr_name": 12.0, "tr_exact": 12.0, "tr_tok": 4.0, "tr_token": 3.0, "schwa": 3.0, "schwa_token": 3.0, "phon": 2.0, "phone": 9.0}
 DISK_LIMITS = {"token": 40000, "prefix": 12000, "addr": 12000, "addr_tok": 10000, "acronym": 12000, "tokpost": 12000, "ngram": 1500, "tr_name": 8000, "tr_tok": 8000, "phon": 8000}
 MEMORY_LIMITS = DISK_LIMITS | {"token": 12000, "addr_tok": 3000}
 BUDGETS = {"easy": 60, "medium": 150, "hard": 250}
@@ -37,6 +37,10 @@ class Profile:
     dropped_suffixes: bool = True
     cross_field: float = 20.0
     many_tokens: float = 25.0
+    #: Ask for words with a last ``a`` more or less, too: among transliterated words, else among words.
+    schwa: bool = False
+    #: Compare transliterated names and sounds, too, when candidates are ranked again.
+    rank_by_sounds: bool = False
     many_phonetic: float = 0.0
     addr_weight: float | None = None
     rarest_words: int = 6
@@ -47,6 +51,8 @@ class Profile:
 
 
 PROD = Profile()
+#: All twelve channels with schwa variants, as an inference over files uses them.
+FULL = Profile(channels=(*PROD.channels, "tr_name", "tr_tok", "phon"), schwa=True, rank_by_sounds=True)
 MEM = Profile(limits=dict(MEMORY_LIMITS), wider_addresses=False, dropped_suffixes=False, cross_field=0.0, many_phonetic=20.0)
 BASELINE = Profile(channels=("token", "prefix", "addr"), limits={"token": 3000, "prefix": 3000, "addr": 3000}, wider_addresses=False, cross_field=0.0, many_tokens=0.0, addr_weight=4.0, budget=25)
 MULTI_PASS = Profile(channels=("exact", "token", "prefix", "addr"), limits={"token": 4000, "prefix": 4000, "addr": 150}, weights=WEIGHTS | {"exact": 10.0}, wider_addresses=False, dropped_suffixes=False, cross_field=0.0, many_tokens=0.0, addr_weight=6.0, budget=35)
@@ -60,6 +66,11 @@ def _post_key(core: Column, prefixes: Column) -> Column:
     return F.when(F.size(core) > 0, F.transform(prefixes, lambda p: F.concat(F.try_element_at(core, F.lit(1)), F.lit("|"), p))).otherwise(F.array().cast("array<string>"))
 
 
+def schwa_keys(core: Column) -> Column:
+    """The words of a name with a last ``a`` more or less."""
+    return F.array_distinct(F.filter(F.transform(core, X.schwa_variant), lambda t: t.isNotNull()))
+
+
 def target_keys(channel: str) -> Column:
     """The keys under which a prepared target is filed in a channel."""
     norm, core, addr, norm_addr = F.col("norm_name"), F.col("core"), F.col("addr"), F.col("norm_addr")
@@ -128,6 +139,8 @@ def query_keys(s1: DataFrame, profile: Profile = PROD) -> DataFrame:
         "tr_token": ("token", lambda: _at_least(F.array_distinct(X.tokens(F.col("tr_name"))), 3)),
         "tr_tok": ("tr_tok", lambda: F.array_distinct(X.tokens(F.col("tr_name")))),
         "phon": ("phon", lambda: F.col("phon_query")),
+        "schwa": ("tr_tok", lambda: schwa_keys(core)),
+        "schwa_token": ("token", lambda: schwa_keys(core)),
     }
     every = []
 
@@ -135,7 +148,7 @@ def query_keys(s1: DataFrame, profile: Profile = PROD) -> DataFrame:
         return F.transform(keys, lambda k, i: F.struct(F.lit(rule).alias("rule"), F.lit(channel).alias("channel"), k.alias("key"), i.alias("pos")))
 
     for rule, (channel, keys) in rules.items():
-        wanted = {"concat": "token" in profile.channels and profile.many_tokens > 0, "tr_exact": "tr_name" in profile.channels, "tr_token": "tr_tok" in profile.channels}.get(rule, channel in profile.channels)
+        wanted = {"concat": "token" in profile.channels and profile.many_tokens > 0, "tr_exact": "tr_name" in profile.channels, "tr_token": "tr_tok" in profile.channels, "schwa": profile.schwa and "tr_tok" in profile.channels, "schwa_token": profile.schwa and "token" in profile.channels}.get(rule, channel in profile.channels)
         if wanted:
             every.append(asked(rule, channel, keys()))
     return s1.select("country", F.col("id").alias("s1_id"), F.explode(F.flatten(F.array(*every))).alias("q")).select("country", "s1_id", "q.*")
@@ -144,6 +157,11 @@ def query_keys(s1: DataFrame, profile: Profile = PROD) -> DataFrame:
 def weighted_keys(asked: DataFrame, stats: DataFrame, profile: Profile = PROD) -> DataFrame:
     """Query keys that exist within limits, each with its weight; address words and trigrams only the rarest."""
     kept = asked.join(within_limits(stats, profile.limits), ["country", "channel", "key"])
+    if profile.schwa:
+        # Among words only where no transliterated word has the key.
+        variant = F.col("rule").isin("schwa", "schwa_token")
+        found = F.max(F.col("rule") == "schwa").over(Window.partitionBy("s1_id", F.when(variant, F.col("key"))))
+        kept = kept.withColumn("found", found).where((F.col("rule") != "schwa_token") | ~F.col("found")).drop("found")
     fixed = F.try_element_at(F.create_map(*[F.lit(x) for pair in profile.weights.items() for x in pair]), F.col("rule"))
     weight = F.when(F.col("rule") == "addr", F.col("idf") if profile.addr_weight is None else F.lit(profile.addr_weight)).when(F.col("rule") == "addr_tok", 2 * F.col("idf")).when(F.col("rule") == "ngram", F.col("idf")).otherwise(fixed)
     w = Window.partitionBy("s1_id", "rule").orderBy(F.desc("idf"), F.when(F.col("rule") == "ngram", F.col("pos")).otherwise(0), "key", "pos")
@@ -201,6 +219,22 @@ def must_include(scored: DataFrame, depth: int) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(w)).where((F.col("place") <= depth) | (F.col("token_hits") >= 2) | (F.col("phon_hits") >= 2) | F.col("cross_field"))
 
 
+def _name_similarity(sounds: bool) -> Column:
+    """Of x and y, by trigrams; with ``sounds`` also of their transliterations, and by the share of x's sound codes in those of y's."""
+    grams = lambda c: X.ngrams(F.col(c), 3)
+    plain = X.jaccard(grams("x.norm_name"), grams("y.norm_name"))
+    if not sounds:
+        return plain
+    asked, filed = F.col("x.phon_query"), F.col("y.tr_phon")
+    heard = F.when(F.size(F.array_distinct(asked)) > 0, F.size(F.array_intersect(asked, filed)) / F.size(F.array_distinct(asked))).otherwise(0.0)
+    across = lambda a, b: X.jaccard(grams(a), grams(b))
+    tx, ty = F.col("x.tr_name") != "", F.col("y.tr_name") != ""
+    return F.greatest(
+        plain, F.when(tx, across("x.tr_name", "y.norm_name")).otherwise(0.0), F.when(ty, F.greatest(across("x.norm_name", "y.tr_name"), heard)).otherwise(0.0),
+        F.when(tx & ty, across("x.tr_name", "y.tr_name")).otherwise(0.0),
+    )
+
+
 def rerank(scored: DataFrame, s1: DataFrame, targets: DataFrame, limit: DataFrame | int, profile: Profile = PROD) -> DataFrame:
     """The best candidates within each record's limit; where there are more, weights first gain boost x trigram similarity."""
     if isinstance(limit, int):
@@ -210,9 +244,10 @@ def rerank(scored: DataFrame, s1: DataFrame, targets: DataFrame, limit: DataFram
     every = sized.withColumn("n", F.count("*").over(Window.partitionBy("s1_id")))
     kept = must_include(every, profile.depth)
     kept = kept.where((F.col("n") > F.col("budget")) | (F.col("place") <= F.col("budget")))
-    names = lambda df, a, b: df.select(F.col("id").alias(a), F.col("norm_name").alias(b))
+    sounds = ["tr_name", "phon_query", "tr_phon"] if profile.rank_by_sounds else []
+    names = lambda df, a, b: df.select(F.col("id").alias(a), F.struct("norm_name", *sounds).alias(b))
     pair = kept.join(names(s1, "s1_id", "x"), "s1_id").join(names(targets, "target_id", "y"), "target_id")
-    similar = X.jaccard(X.ngrams(F.col("x"), 3), X.ngrams(F.col("y"), 3))
+    similar = _name_similarity(profile.rank_by_sounds)
     pair = pair.withColumn("weight", F.when(F.col("n") > F.col("budget"), F.col("weight") + profile.boost * similar).otherwise(F.col("weight")))
     return top_k(pair.drop("x", "y", "n", "place"), F.col("budget")).drop("budget")
 
@@ -226,7 +261,8 @@ def family_quota(scored: DataFrame, budget: int) -> DataFrame:
     return first.withColumn("rank", F.row_number().over(order) - 1).where(F.col("rank") < budget).drop("reserved")
 
 
-def retrieve(s1: DataFrame, targets: DataFrame, profile: Profile = PROD) -> DataFrame:
-    """All scored candidates of prepared records among prepared targets, before any cut."""
-    posted = postings(targets, profile.channels)
+def retrieve(s1: DataFrame, targets: DataFrame, profile: Profile = PROD, posted: DataFrame | None = None) -> DataFrame:
+    """All scored candidates of prepared records among prepared targets (or their postings, if at hand), before any cut."""
+    if posted is None:
+        posted = postings(targets, profile.channels)
     return score(hits(weighted_keys(query_keys(s1, profile), idf(key_counts(posted), targets), profile), posted), profile)

@@ -236,3 +236,48 @@ def reverse_variants(mapping: DataFrame) -> DataFrame:
 def unlearnable(pairs: DataFrame, similarities: Sequence[str], least: float = 0.25) -> DataFrame:
     """How many true pairs have no similarity of at least ``least``. ``pairs`` has is_match."""
     return pairs.where("is_match = 1").agg(F.count("*").alias("matches"), F.count_if(F.greatest(*similarities) < least).alias("unlearnable"))
+
+
+def misses(s1: DataFrame, truth: DataFrame, targets: DataFrame, candidates: DataFrame) -> DataFrame:
+    """(s1_id, target_id, country, reason, candidate_count): a row a true pair that is no candidate. ``s1`` has s1_id and country."""
+    n = candidates.groupBy("s1_id").agg(F.count("*").alias("candidate_count"))
+    lost = truth.join(candidates.select("s1_id", "target_id"), ["s1_id", "target_id"], "left_anti").join(targets.select(F.col("id").alias("target_id"), F.lit(1).alias("there")), "target_id", "left")
+    reason = F.when(F.col("there").isNull(), "target_absent").otherwise("blocking_or_budget")
+    return lost.join(s1.select("s1_id", "country"), "s1_id").join(n, "s1_id", "left").select("s1_id", "target_id", "country", reason.alias("reason"), F.coalesce("candidate_count", F.lit(0)).alias("candidate_count"))
+
+
+def score_distribution(s1: DataFrame, truth: DataFrame, scored: DataFrame) -> DataFrame:
+    """(s1_id, target_id, country, is_match, score) of every candidate."""
+    hit = truth.select("s1_id", "target_id", F.lit(1).alias("hit")).distinct()
+    return scored.join(hit, ["s1_id", "target_id"], "left").join(s1.select("s1_id", "country"), "s1_id").select("s1_id", "target_id", "country", F.coalesce("hit", F.lit(0)).alias("is_match"), F.col("p").alias("score"))
+
+
+def false_negatives(s1: DataFrame, truth: DataFrame, scored: DataFrame, gate: float) -> DataFrame:
+    """(s1_id, target_id, country, score, best_score, reason): true candidates that were not accepted."""
+    best = scored.withColumn("best", F.max("p").over(Window.partitionBy("s1_id")))
+    lost = best.where("not accepted").join(truth, ["s1_id", "target_id"], "left_semi").join(s1.select("s1_id", "country"), "s1_id")
+    reason = F.when(F.col("best") < gate, "singleton_gate").otherwise("threshold_or_margin")
+    return lost.select("s1_id", "target_id", "country", F.col("p").alias("score"), F.col("best").alias("best_score"), reason.alias("reason"))
+
+
+def false_positives(s1: DataFrame, truth: DataFrame, scored: DataFrame) -> DataFrame:
+    """(s1_id, target_id, country, score, best_score): accepted candidates that are not true."""
+    best = scored.withColumn("best", F.max("p").over(Window.partitionBy("s1_id")))
+    false = best.where("accepted").join(truth, ["s1_id", "target_id"], "left_anti").join(s1.select("s1_id", "country"), "s1_id")
+    return false.select("s1_id", "target_id", "country", F.col("p").alias("score"), F.col("best").alias("best_score"))
+
+
+def graph_recovery(truth: DataFrame, scored: DataFrame, posted: DataFrame) -> DataFrame:
+    """One row a missed true pair: its record's retrieved and accepted true matches, and the channels that any of them shares with the missed one.
+
+    (s1_id, target_id, retrieved_true, accepted_true, bridge_channels, accepted_bridge_channels); keys are met by a join, neighbours never gathered.
+    """
+    hit = scored.join(truth, ["s1_id", "target_id"], "left_semi").select("s1_id", F.col("target_id").alias("near"), "accepted")
+    lost = truth.select("s1_id", "target_id").distinct().join(scored.select("s1_id", "target_id"), ["s1_id", "target_id"], "left_anti")
+    pairs = lost.join(hit, "s1_id")
+    keys = posted.select("country", "channel", "key", "target_id")
+    own = pairs.join(keys, "target_id").join(keys.withColumnRenamed("target_id", "near"), ["country", "channel", "key", "near"], "left_semi")
+    shared = own.groupBy("s1_id", "target_id").agg(F.array_join(F.array_sort(F.collect_set("channel")), ",").alias("bridge_channels"), F.array_join(F.array_sort(F.collect_set(F.when(F.col("accepted"), F.col("channel")))), ",").alias("accepted_bridge_channels"))
+    near = hit.groupBy("s1_id").agg(F.count("*").alias("retrieved_true"), F.count_if("accepted").alias("accepted_true"))
+    out = lost.join(near, "s1_id", "left").join(shared, ["s1_id", "target_id"], "left")
+    return out.fillna(0, ["retrieved_true", "accepted_true"]).fillna("", ["bridge_channels", "accepted_bridge_channels"])
