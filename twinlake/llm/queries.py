@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from twinlake.llm import chat, embedding_dedup, media, mixing, ngram_join, packing, secrets, substring_dedup, suffix_dedup, toxicity
+from twinlake.llm import chat, embedding_dedup, media, mixing, ngram_join, oracles, packing, secrets, substring_dedup, suffix_dedup, toxicity
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -62,4 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_chat_formatting": chat.ORACLE, "op5_secret_scans": secrets.oracle(), "op9_source_mixing": mixing.ORACLE}
+    return {
+        "op1_ngram_join": oracles.NGRAM_JOIN, "op3_chat_formatting": chat.ORACLE, "op4_substring_dedup": oracles.SUBSTRING_DEDUP, "op5_secret_scans": secrets.oracle(),
+        "op9_source_mixing": mixing.ORACLE, "op10_suffix_dedup": oracles.SUFFIX_DEDUP,
+    }
