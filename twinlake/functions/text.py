@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -51,8 +51,35 @@ def _folds() -> tuple[str, str, dict[str, str]]:
     return "".join([*one, *gone]), "".join(one.values()), several
 
 
+@lru_cache(1)
+def _composed() -> tuple[str, str, dict[str, str], dict[str, str]]:
+    """Compatibility forms of single characters that keep their marks: those that become one and several, and Indic pairs that become one."""
+    one, several = {}, {}
+    for code in [*range(0xA0, 0xAC00), *range(0xF900, 0x10000)]:
+        c = chr(code)
+        folded = unicodedata.normalize("NFKC", c)
+        if len(folded) == 1 and folded != c:
+            one[c] = folded
+        elif len(folded) > 1 and (code < 0x2200 or 0xFB00 <= code <= 0xFB06):
+            several[c] = folded
+    pairs = {}
+    for code in range(0x0900, 0x0D80):
+        parts = unicodedata.decomposition(chr(code)).split()
+        if len(parts) == 2 and unicodedata.normalize("NFC", chr(code)) == chr(code):
+            pairs["".join(chr(int(x, 16)) for x in parts)] = chr(code)
+    return "".join(one), "".join(one.values()), several, pairs
+
+
+def _compose(text: Column) -> Column:
+    """A text with Indic letters, composed: what NFKC makes of it, but for loose marks on other letters."""
+    source, target, several, pairs = _composed()
+    folds = F.create_map(*[F.lit(x) for pair in several.items() for x in pair])
+    out = F.array_join(F.transform(F.split(F.translate(text, source, target), ""), lambda c: F.coalesce(F.try_element_at(folds, c), c)), "")
+    return reduce(lambda c, p: F.replace(c, F.lit(p[0]), F.lit(p[1])), pairs.items(), out)
+
+
 def clean_unicode(text: Column) -> Column:
-    """Accents and compatibility forms folded; a text with letters of an Indic script is left composed.
+    """Accents and compatibility forms folded; a text with letters of an Indic script is composed and keeps its marks.
 
     Folding is one ``translate``. Ligatures, fractions and the like are looked up a character at a
     time, only in texts that hold one. Rarer forms that decompose into several characters are folded by
@@ -67,7 +94,7 @@ def clean_unicode(text: Column) -> Column:
     # Deleting them tells whether a text holds one, faster than a pattern of so many letters.
     holds = F.char_length(F.translate(text, "".join(several), "")) < F.char_length(text)
     out = F.when(holds, rare).otherwise(out)
-    return F.when(plain, text).when(has_indic_script(text), text).otherwise(out)
+    return F.when(plain, text).when(has_indic_script(text), _compose(text)).otherwise(out)
 
 
 def has_indic_script(text: Column) -> Column:

@@ -216,14 +216,22 @@ def read_index(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def fingerprint(spark: SparkSession, paths: list[str]) -> str:
-    """SHA-256 over each input's path, length and modification time, as its file system reports them."""
-    found = []
+def fingerprint(spark: SparkSession, paths: list[str], ends: int = 1 << 16) -> str:
+    """SHA-256 over each input's path, length and modification time, as its file system reports them, and its first and last ``ends`` bytes."""
+    h, read = hashlib.sha256(), spark._jvm.org.apache.commons.io.IOUtils.toByteArray
     for path in sorted(paths):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        s = p.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(p)
-        found.append((path, s.getLen(), s.getModificationTime()))
-    return hashlib.sha256(json.dumps(found).encode()).hexdigest()
+        p, files = _path(spark, path)
+        s = files.getFileStatus(p)
+        size = s.getLen()
+        h.update(json.dumps((path, size, s.getModificationTime())).encode())
+        stream = files.open(p)
+        try:
+            for start in (0, size - ends) if size > ends else (0,):
+                stream.seek(start)
+                h.update(bytes(read(stream, min(ends, size - start))))
+        finally:
+            stream.close()
+    return h.hexdigest()
 
 
 def append_ledger(spark: SparkSession, path: str, **entry) -> None:
