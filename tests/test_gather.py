@@ -55,7 +55,7 @@ def test_nothing_found(sides):
 
 FOUND = [
     "adaptive_budget", "assert_global_unique", "assign_ownership", "best_thresholds", "bonus_cross_field", "bonus_multi_token", "candidate_diagnostic", "candidate_recall", "decision_secondary", "decision_threshold",
-    "decision_two_stage", "difficulty_tier", "entity_full_recall", "error_taxonomy", "evaluate_metrics", "family_quota", "feat_flags", "feat_jaro_winkler", "fp_breakdown", "graph_recovery", "graph_rule_search",
+    "decision_two_stage", "difficulty_tier", "entity_full_recall", "error_taxonomy", "evaluate_metrics", "family_quota", "feat_flags", "feat_jaro_winkler", "feat_numeric", "fp_breakdown", "graph_recovery", "graph_rule_search",
     "group_metrics", "hard_negatives",
 ]
 
